@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspark.llm import bpe
+from kvspark.llm import bpe, line_dedup, mixing, sharding
 from kvspark.llm.common import table
 
 
@@ -20,11 +20,76 @@ def rank_file() -> tuple[bytes, str]:
     return Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes(), public_tokenizers.PATTERN
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = rank_file()
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_bpe": op5_bpe}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("_row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
+    "op5_bpe": op5_bpe,
+    "op6_line_dedup": op6_line_dedup,
+    "op10_hilbert_shards": op10_hilbert_shards,
+}
+
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS k, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS h,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+s AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k),
+w AS (
+  SELECT k, source_size, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total,
+         1 + (row_number() OVER (ORDER BY k) - 1) % 3 AS w FROM s),
+r AS (SELECT *, cap::DOUBLE / w AS ratio FROM w),
+l AS (
+  SELECT *, row_number() OVER (ORDER BY ratio, k) AS place,
+         (total - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS level
+  FROM r WINDOW b AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, (SELECT arg_min(level, place) FROM l WHERE ratio > level) AS final FROM l),
+t AS (SELECT k, source_size, CASE WHEN final IS NULL OR ratio <= final THEN cap::DOUBLE ELSE w * final END AS target FROM f),
+b AS (SELECT CAST(least(4096, greatest(1, sum(size) // 65536)) AS BIGINT) AS block, CAST(sum(size) AS BIGINT) AS total FROM d),
+c AS (
+  SELECT k, (source_size + block - 1) // block AS blocks, row_number() OVER (ORDER BY k DESC) AS back,
+         sum(target) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () AS hi
+  FROM t, b WHERE target > 0),
+e AS (SELECT k, blocks, lag(hi, 1, 0.0) OVER (ORDER BY k) AS lo, CASE WHEN back = 1 THEN 2.0 ELSE hi END AS hi FROM c),
+p AS (SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS u
+      FROM (SELECT unnest(range(0, (SELECT (total + block - 1) // block FROM b))) AS i)),
+q AS (SELECT k, blocks, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS n FROM p JOIN e ON u >= lo AND u < hi),
+takes AS (SELECT k, n % blocks AS blk, count(*) AS takes FROM q WHERE n // blocks < 3 GROUP BY ALL),
+laid AS (
+  SELECT doc_id, k, size, CAST(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start FROM d),
+x AS (SELECT doc_id, k, size, start, block, unnest(range(start // block, (start + size - 1) // block + 1)) AS blk FROM laid, b WHERE size > 0),
+y AS (
+  SELECT doc_id, k, size, sum((least(start + size, (blk + 1) * block) - greatest(start, blk * block)) * coalesce(takes, 0)) AS taken
+  FROM x LEFT JOIN takes USING (k, blk) GROUP BY doc_id, k, size, start
+  UNION ALL SELECT doc_id, k, size, 0 FROM laid WHERE size = 0)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM y JOIN t USING (k)
+"""
+
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+m AS (SELECT key, min(id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(id) < max(id)),
+j AS (SELECT k.*, coalesce(k.id > m.first, false) AS gone FROM k LEFT JOIN m USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY r, doc_id
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op6_line_dedup": OP6_SQL}
