@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvspark.llm import textvec
-from kvspark.llm.common import partitions
+from kvspark.llm.common import mix64, partitions
 
 #: Tokens and distinct words after which a block is closed: its size in a worker's memory.
-BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 400_000
 #: Characters that are tokenised at once.
 CHUNK_CHARS = 50_000
+#: Tokens that are put in order at once.
+SLICE_TOKENS = 200_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -90,16 +92,18 @@ class _Block:
         self.ids += ids
         self.counts.append(np.bincount(of, minlength=len(texts)).astype(np.int64))
         self.hashes.append(textvec.span_hashes(cp, starts, ends))
-        self.spans.append((starts, ends, joined))
+        self.spans.append((starts.astype(np.int32), ends.astype(np.int32), joined))  # within a chunk
         self.tokens += len(starts)
         self.seen += len(pd.unique(self.hashes[-1])) // 3  # words of a chunk that are new to the block, roughly
 
     def close(self) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Key, positions, pre-tokens of each text, hash of each word and the words."""
         hashes = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        self.hashes.clear()
         codes, words = pd.factorize(hashes)
-        first = np.empty(len(words), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        codes = codes.astype(np.int32)
+        first = np.empty(len(words), np.int32)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1, dtype=np.int32)
         sizes = [len(s) for s, _, _ in self.spans]
         texts: list[str] = []
         base = 0
@@ -108,8 +112,13 @@ class _Block:
             texts += [joined[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
             base += size
         counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
-        weights = np.arange(1, len(hashes) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        key = f"{int(np.sum(hashes * (weights | np.uint64(1)), dtype=np.uint64)):016x}-{int(np.sum(hashes ^ weights, dtype=np.uint64)):016x}-{len(hashes)}-{len(counts)}"
+        a = b = 0
+        for at in range(0, len(hashes), 1 << 18):  # two checksums of the order of the words name the block
+            part = hashes[at : at + (1 << 18)]
+            place = np.arange(at + 1, at + len(part) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            a += int(np.sum(part * (place | np.uint64(1)), dtype=np.uint64))
+            b += int(np.sum(mix64(part ^ place), dtype=np.uint64))
+        key = f"{a % 2**64:016x}-{b % 2**64:016x}-{len(hashes)}-{len(counts)}"
         return key, codes, counts, words, texts
 
 
@@ -186,15 +195,21 @@ def _reassemble(left: pa.Table, right: pa.Table, id_type: pa.DataType) -> pa.Tab
     out_ids, out = [], []
     for own, blob in zip(left.column("ids").to_pylist(), left.column("positions").to_pylist(), strict=True):
         counts, *planes = _unpack(blob, np.int64, np.uint8, np.uint8, np.uint8, np.uint8)
-        codes = sum(p.astype(np.int64) << (8 * k) for k, p in enumerate(planes))
-        if len(codes) and (codes.max() >= len(size) or size[codes].min() < 0):
-            raise RuntimeError("a block's words are missing: its input rows came in another order when they were read again")
-        each = size[codes]
-        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
-        gather = np.arange(upto[-1]) + np.repeat(begin[codes] - upto[:-1], each)
-        cuts = upto[np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))]
-        out.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids[gather])))
-        out_ids.append(pa.array(own, id_type))
+        ends = np.cumsum(counts)
+        at = done = 0
+        while at < len(own):  # a few texts at a time: what a position needs is many times its packed size
+            to = max(at + 1, int(np.searchsorted(ends, done + SLICE_TOKENS, "right")))
+            upto_token = int(ends[to - 1])
+            codes = sum(p[done:upto_token].astype(np.int64) << (8 * k) for k, p in enumerate(planes))
+            if len(codes) and (codes.max() >= len(size) or size[codes].min() < 0):
+                raise RuntimeError("a block's words are missing: its input rows came in another order when they were read again")
+            each = size[codes]
+            upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(each)))
+            gather = np.arange(upto[-1]) + np.repeat(begin[codes] - upto[:-1], each)
+            cuts = upto[np.concatenate((np.zeros(1, np.int64), ends[at:to] - done))]
+            out.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids[gather])))
+            out_ids.append(pa.array(own[at:to], id_type))
+            at, done = to, upto_token
     kinds = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32()))])
     if not out:
         return kinds.empty_table()

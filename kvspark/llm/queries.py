@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspark.llm import bpe, line_dedup, mixing, sharding
+from kvspark.llm import bpe, line_dedup, mixing, sharding, toxicity
 from kvspark.llm.common import table
 
 
@@ -24,6 +24,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).select("_row.doc_id", "score", "predicted")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = rank_file()
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
@@ -40,6 +47,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op10_hilbert_shards": op10_hilbert_shards,
