@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspark.llm import ann, bpe, line_dedup, mixing, sharding, toxicity
+from kvspark.llm import ann, bpe, line_dedup, mixing, nn_descent, sharding, toxicity
 from kvspark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def rank_file() -> tuple[bytes, str]:
     return Path(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).read_bytes(), public_tokenizers.PATTERN
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,6 +54,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nn_descent": op1_nn_descent,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
@@ -105,4 +110,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM j GROUP BY r, doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op6_line_dedup": OP6_SQL}
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.x WHERE r.root < l.b),
+c AS (SELECT x, min(root) AS component_id FROM r GROUP BY x),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON x = vec_id LEFT JOIN k ON a = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_nn_descent": OP1_SQL, "op3_mixing": OP3_SQL, "op6_line_dedup": OP6_SQL}
