@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspark.llm import ann, bpe, line_dedup, mixing, nn_descent, sharding, toxicity
+from kvspark.llm import ann, bpe, license_scan, line_dedup, mixing, nn_descent, sharding, toxicity
 from kvspark.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("identifiers").cast("long").alias("n_known_sentences"), F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.array_sort(F.array_distinct("licenses")), ",").alias("licenses"))
+
+
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op8_ann": op8_ann,
+    "op9_license_scan": op9_license_scan,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
 
