@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspark.llm import ann, bpe, license_scan, line_dedup, mixing, nn_descent, sharding, toxicity
+from kvspark.llm import ann, bpe, jaccard, license_scan, line_dedup, mixing, nn_descent, sharding, toxicity
 from kvspark.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,6 +65,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": op1_nn_descent,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
