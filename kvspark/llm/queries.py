@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspark.llm import ann, bpe, jaccard, license_scan, line_dedup, mixing, nn_descent, sharding, toxicity
+from kvspark.llm import ann, bpe, jaccard, license_scan, line_dedup, mixing, nn_descent, sharding, suffix_dedup, toxicity
 from kvspark.llm.common import table
 
 
@@ -42,7 +42,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = rank_file()
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, decoded=True))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("_row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_ann": op8_ann,
     "op9_license_scan": op9_license_scan,
     "op10_hilbert_shards": op10_hilbert_shards,
