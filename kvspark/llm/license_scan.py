@@ -114,8 +114,8 @@ def _starts() -> frozenset[str]:
     return frozenset(" ".join(words[:n]) for s in _known() for words in [s.split()] for n in range(1, len(words)))
 
 
-def identifiers(text: str) -> list[tuple[int, str]]:
-    """(sentence number, identifier) of known sentences and copyright lines."""
+def identifiers(text: str) -> list[tuple[int, int, str]]:
+    """(first piece, end, identifier) of known sentences and copyright lines."""
     pieces = [n for line in text.split("\n") for piece in _ENDS.split(line) if (n := normalise(piece))]
     known, starts, out, i = _known(), _starts(), [], 0
     while i < len(pieces):
@@ -128,24 +128,24 @@ def identifiers(text: str) -> list[tuple[int, str]]:
             joined += " " + pieces[i + n]
             n += 1
         if best:
-            out.append((i, best[0]))
+            out.append((i, i + best[1], best[0]))
             i += best[1]
         else:
             if _COPYRIGHT.match(pieces[i]):
-                out.append((i, "Copyright"))
+                out.append((i, i + 1, "Copyright"))
             i += 1
     return out
 
 
-def licenses(found: list[tuple[int, str]]) -> list[str]:
+def licenses(found: list[tuple[int, int, str]]) -> list[str]:
     """Names of the licences whose rules match, in the order of the text."""
-    own = [(at, name) for at, name in found if name != "Copyright"]
+    own = [x for x in found if x[2] != "Copyright"]
     out, used, i = [], 0, 0
     while i < len(own):
         for name, rule in RULES:
             part = own[i : i + len(rule)]
-            near = all(b - a <= GAP + 1 for (a, _), (b, _) in zip(part, part[1:], strict=False))
-            if near and tuple(x for _, x in part) == rule:
+            near = all(b[0] - a[1] <= GAP for a, b in zip(part, part[1:], strict=False))
+            if near and tuple(x[2] for x in part) == rule:
                 out.append(name)
                 used = len(rule)
                 break
@@ -166,7 +166,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for text in batch.column("_text").to_pylist():
                 low = (text or "").lower().encode("utf-8", "surrogatepass")
                 found = identifiers(text) if any(t in low for t in TRIGGERS) else []
-                ids.append([x for _, x in found])
+                ids.append([x[2] for x in found])
                 names.append(licenses(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.string())), pa.array(names, pa.list_(pa.string()))], [id_col, "identifiers", "licenses"])
 
