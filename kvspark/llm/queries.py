@@ -141,4 +141,18 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 FROM embeddings JOIN c ON x = vec_id LEFT JOIN k ON a = vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_nn_descent": OP1_SQL, "op3_mixing": OP3_SQL, "op6_line_dedup": OP6_SQL}
+OP2_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS x, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.x WHERE r.root < e.b),
+c AS (SELECT x, min(root) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d JOIN c ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_nn_descent": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_mixing": OP3_SQL, "op6_line_dedup": OP6_SQL}
