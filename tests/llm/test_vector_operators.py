@@ -20,7 +20,7 @@ def vectors(seed=0, n=300, d=16):
         v = rng.standard_normal(d) * (1 + 5 * (i % 17 == 0))
         out.append((i, v.astype(np.float32).tolist(), int(rng.integers(0, 4))))
     for i in range(n, n + 120):  # clusters of near copies, among them exact ones
-        base = out[(i * 7) % 10]
+        base = out[(i * 7) % 3]
         noise = rng.standard_normal(d) * (0.0 if i % 5 == 0 else 0.04)
         out.append((i, (np.array(base[1]) + noise).astype(np.float32).tolist(), base[2] if i % 11 else None))
     out += [(900, None, 1), (901, [0.0] * d, 1), (902, [math.nan] * d, 1), (903, [math.inf] + [0.0] * (d - 1), 1), (904, [None] * d, 1), (905, [1.0] * (d + 1), 1), (906, [], 1)]
