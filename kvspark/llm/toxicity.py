@@ -1,7 +1,9 @@
 """Toxic passages by maximum-scoring segments of token log-odds, calibrated by extreme values.
 
 Fit. Words and their first 4, 5 and 6 letters are counted, once a text, in a bounded sample of labelled
-texts (at most ``sample`` of either label, the first by a hash of the id). A unit's score is its
+texts (at most ``sample`` of either label, the first by a hash of the id). Of near copies in the sample,
+found by two minimum hashes of their shingles, one is used, or a copied text's ordinary words would look
+like a label's. A unit's score is its
 log-odds ratio between the labels under a Dirichlet prior that follows the pooled counts; units whose
 ratio is large and well beyond its standard error are listed. A word takes the score of its longest
 listed unit, so inflected forms that were never seen still count; other words score slightly below 0.
@@ -33,13 +35,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.types import _parse_datatype_string as kind
 
 from kvspark.llm import textvec
-from kvspark.llm.common import cut
+from kvspark.llm.common import cut, mix64
+from kvspark.llm.jaccard import shingle_sets
 
 #: Labelled texts of either label that the fit reads at most; units that it lists at most.
 SAMPLE, LISTED = 10_000, 65_536
 PREFIXES = (6, 5, 4)
 #: Weight of the prior, least log-odds and standard errors of a listed unit, share of listed words in a toxic passage.
-PRIOR, LEAST_ODDS, LEAST_Z, PASSAGE = 20.0, math.log(3), 4.0, 0.2
+PRIOR, LEAST_ODDS, LEAST_Z, PASSAGE = 20.0, math.log(5), 4.0, 0.2
 CHUNK_CHARS = 50_000
 PASSAGES = "array<struct<start:int,end:int,score:double,evalue:double>>"
 
@@ -127,6 +130,19 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(np.append(n - n1, words[0])), pa.array(np.append(n1, words[1]))], ["unit", "clean", "toxic"])
 
 
+def _families(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds two minimum hashes of each text's shingles of five words."""
+    for batch in batches:
+        out = [np.zeros(batch.num_rows, np.uint64) for _ in range(2)]
+        for at, part in _chunks(batch.column("_text").to_pylist()):
+            of, h, _ = shingle_sets(part, 5)
+            own, first = np.unique(of, return_index=True)
+            for k in range(2):
+                if len(h):
+                    out[k][at + own] = np.minimum.reduceat(mix64(h ^ np.uint64(0x9E37 + k)), first)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(f.view(np.int64)) for f in out)], [*batch.schema.names, "_f0", "_f1"])
+
+
 class Scanner:
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -210,7 +226,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64(F.col("_id").cast("string")), F.col("_id")
     picked = known.where("_label = 1").orderBy(*order).limit(sample).unionByName(known.where("_label = 0").orderBy(*order).limit(sample))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
-    texts = cut(rows.join(F.broadcast(picked), "_id").select("_label", "_text"))  # 2 * sample ids are broadcast at most
+    texts = rows.join(F.broadcast(picked), "_id").select("_label", "_text")  # 2 * sample ids are broadcast at most
+    texts = texts.mapInArrow(_families, "_label int, _text string, _f0 long, _f1 long")
+    for family in ("_f0", "_f1"):
+        one = F.min_by(F.struct("_label", "_text", "_f1"), F.struct(F.xxhash64("_text"), "_label"))
+        texts = texts.groupBy(family).agg(one.alias("_one")).select("_one.*")
+    texts = cut(texts.select("_label", "_text"))
     counts = texts.mapInArrow(_count, "unit long, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = {r["_label"]: r["count"] for r in texts.groupBy("_label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
