@@ -111,6 +111,7 @@ class _Block:
             own = first[(first >= base) & (first < base + size)] - base
             texts += [joined[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
             base += size
+        self.spans.clear()
         counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
         a = b = 0
         for at in range(0, len(hashes), 1 << 18):  # two checksums of the order of the words name the block
@@ -135,6 +136,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
             if block.tokens >= BLOCK_TOKENS or block.seen >= BLOCK_WORDS:
                 yield block
                 block = _Block()
+                pa.default_memory_pool().release_unused()
     if block.ids:
         yield block
 
@@ -178,7 +180,12 @@ def _encode_words(batches: Iterable[pa.RecordBatch], raw: bytes, pattern: str) -
         yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(blobs, pa.binary())], ["block", "encoded"])
 
 
-def _reassemble(left: pa.Table, right: pa.Table, id_type: pa.DataType) -> pa.Table:
+def _decode(ids: pa.ListArray, known: list[bytes]) -> pa.Array:
+    return pa.array([None if x is None else b"".join([known[i] for i in x.values.to_numpy().tolist()]) for x in ids], pa.binary())
+
+
+def _reassemble(left: pa.Table, right: pa.Table, id_type: pa.DataType, known: list[bytes] | None) -> pa.Table:
+    pa.default_memory_pool().release_unused()
     numbers, lengths, flat = [], [], []
     for blob in right.column("encoded").to_pylist():
         a, b, c = _unpack(blob, np.uint32, np.uint32, np.uint32)
@@ -192,7 +199,7 @@ def _reassemble(left: pa.Table, right: pa.Table, id_type: pa.DataType) -> pa.Tab
     begin = np.zeros(len(size), np.int64)
     size[number] = length
     begin[number] = np.cumsum(length) - length
-    out_ids, out = [], []
+    out_ids, out, decoded = [], [], []
     for own, blob in zip(left.column("ids").to_pylist(), left.column("positions").to_pylist(), strict=True):
         counts, *planes = _unpack(blob, np.int64, np.uint8, np.uint8, np.uint8, np.uint8)
         ends = np.cumsum(counts)
@@ -209,16 +216,20 @@ def _reassemble(left: pa.Table, right: pa.Table, id_type: pa.DataType) -> pa.Tab
             cuts = upto[np.concatenate((np.zeros(1, np.int64), ends[at:to] - done))]
             out.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids[gather])))
             out_ids.append(pa.array(own[at:to], id_type))
+            if known is not None:
+                decoded.append(_decode(out[-1], known))
             at, done = to, upto_token
-    kinds = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32()))])
+    kinds = pa.schema([("id", id_type), ("ids", pa.list_(pa.int32())), *([("decoded", pa.binary())] if known is not None else [])])
     if not out:
         return kinds.empty_table()
-    return pa.table([pa.chunked_array(out_ids), pa.chunked_array(out)], schema=kinds)
+    return pa.table([pa.chunked_array(x) for x in (out_ids, out, decoded) if x], schema=kinds)
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id_col, ids array<int>) for each row: its text's tokens, without special tokens.
 
+    With ``decoded`` the ids are decoded as decode() does, in the same task, into one more column.
+
     ``ranks`` holds the rank file. The scanner knows the usual pattern of contractions, words,
     numbers, other runs and white space; a caller with another pattern gets an error.
     """
@@ -235,7 +246,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     words = source.mapInArrow(lambda b: _word_rows(b, buckets), "block string, bucket long, words binary")
     texts = source.mapInArrow(lambda b: _text_rows(b, arrow_id), f"block string, ids array<{id_kind.simpleString()}>, positions binary")
     encoded = words.repartition(partitions(spark), "bucket").mapInArrow(lambda b: _encode_words(b, *shared.value), "block string, encoded binary")
-    out = texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(lambda a, b: _reassemble(a, b, arrow_id), f"id {id_kind.simpleString()}, ids array<int>")
+    put = lambda a, b: _reassemble(a, b, arrow_id, _token_bytes(shared.value[0]) if decoded else None)
+    out = texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(put, f"id {id_kind.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -247,15 +259,14 @@ def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids", out_col: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _token_bytes(shared.value)
         for batch in batches:
-            out = [None if x is None else b"".join([known[i] for i in x.values.to_numpy().tolist()]) for x in batch.column(place)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decode(batch.column(place), known)], [*batch.schema.names, out_col])
 
     from pyspark.sql.types import BinaryType, StructType
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add(out_col, BinaryType()))
 
 
-def digests(encoded: DataFrame, ranks: bytes, id_col: str = "doc_id") -> DataFrame:
-    """One row for each encoded text: its number of tokens, and SHA-256 of the ids and of the decoded bytes."""
+def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row for each encoded and decoded text: its number of tokens, and SHA-256 of the ids and of the decoded bytes."""
     hexed: Column = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    return decode(encoded, ranks).select(id_col, F.size("ids").cast("long").alias("n_tokens"), hexed.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), hexed.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
