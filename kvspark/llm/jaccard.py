@@ -2,9 +2,9 @@
 
 1. Documents with the same shingle set collapse to one class (a 128-bit digest of the set's hashes).
 2. A set's shingles are put in one global order, rarest first; its prefix is what any partner at or above
-   the threshold must share one shingle of. Rarity is the smallest count among a shingle's words, taken
-   from a fixed-size count sketch over all texts: an upper bound, so frequent passages never lead a set
-   with rarer words. Any order is right; this one keeps lists short.
+   the threshold must share one shingle of. Rarity is the smallest count among a shingle and its words,
+   taken from two fixed-size count sketches over all texts: an upper bound, so frequent passages never
+   lead a set with rarer shingles. Any order is right; this one keeps lists short.
 3. Classes with identical prefixes and size form one group. Only groups enter the lists of their prefix
    shingles. Group pairs that share a list are filtered by size and by position (what is left of both sets
    must still hold the overlap that the threshold asks for).
@@ -31,11 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvspark.llm import textvec
-from kvspark.llm.common import cut, mix64, partitions
+from kvspark.llm.common import cut, drop_cut, mix64, partitions
 from kvspark.llm.components import components
 from kvspark.llm.nn_descent import _sorted_groups
 
 SKETCH_BITS, SEGMENT_BITS, CHUNK_CHARS, CELL = 21, 16, 50_000, 64
+FILTER_BITS, FILTER_SEGMENT = 24, 19
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -53,12 +54,12 @@ def _cell_of(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def shingle_sets(texts: list[str], k: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash and rarity of each text's distinct shingles, sorted by text and hash."""
+def _shingles(texts: list[str], k: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash and rarity of each shingle, in the order of the texts, and the words' hashes."""
     cp, starts, ends, of = textvec.ascii_words(texts)
     words = textvec.span_hashes(cp, starts, ends)
     counts = np.bincount(of, minlength=len(texts))
-    rare = sketch[_cell_of(words)] if sketch is not None else np.zeros(len(words), np.uint32)
+    rare = sketch[0][_cell_of(words)] if sketch is not None else np.zeros(len(words), np.uint32)
     first = np.cumsum(counts) - counts
     left = np.repeat(first + counts, counts) - np.arange(len(words))  # words from here to the text's end
     h, r = np.full(len(words), 0x51ED270B0F3C2A11, np.uint64), rare.copy()
@@ -71,6 +72,12 @@ def shingle_sets(texts: list[str], k: int, sketch: np.ndarray | None = None) ->
         h = np.where(inside, step, h)
         r = np.where(inside, np.minimum(r, rare[at]), r)
     of, h, r = of[use], h[use], r[use]
+    return of, h, r if sketch is None else np.minimum(r, sketch[1][_cell_of(h)]), words
+
+
+def shingle_sets(texts: list[str], k: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash and rarity of each text's distinct shingles, sorted by text and hash."""
+    of, h, r, _ = _shingles(texts, k, sketch)
     order = np.lexsort((h, of))
     of, h, r = of[order], h[order], r[order]
     new = np.ones(len(h), bool)
@@ -78,37 +85,37 @@ def shingle_sets(texts: list[str], k: int, sketch: np.ndarray | None = None) ->
     return of[new], h[new], r[new]
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of words by cell of a sketch, over all texts: 2**SKETCH_BITS numbers."""
+def counts_of(docs: DataFrame, k: int) -> np.ndarray:
+    """Counts of words (row 0) and of shingles (row 1) by cell of a sketch, over all texts."""
+    segments = 1 << (SKETCH_BITS - SEGMENT_BITS)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
         for batch in batches:
             for _, part in chunks(batch.column(0).to_pylist()):
-                cp, starts, ends, _ = textvec.ascii_words(part)
-                cells, n = np.unique(_cell_of(textvec.span_hashes(cp, starts, ends)), return_counts=True)
-                total[cells] += n
+                _, h, _, words = _shingles(part, k)
+                for row, hashes in enumerate((words, h)):
+                    cells, n = np.unique(_cell_of(hashes), return_counts=True)
+                    total[row, cells] += n.astype(np.uint32)
         if total.any():
             squeeze = zstandard.ZstdCompressor(level=3).compress
-            for s in range(1 << (SKETCH_BITS - SEGMENT_BITS)):
-                own = total[s << SEGMENT_BITS : (s + 1) << SEGMENT_BITS]
+            for s, own in enumerate(total.reshape(2 * segments, -1)):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([squeeze(own.tobytes())], pa.binary())], ["segment", "counts"])
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
+                own = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32).astype(np.int64)
                 found[s] = found[s] + own if s in found else own
         for s, own in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["segment", "counts"])
 
     kinds = "segment int, counts binary"
-    out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for row in docs.mapInArrow(count, kinds).repartition(1 << (SKETCH_BITS - SEGMENT_BITS), "segment").mapInArrow(merge, kinds).collect():  # of fixed size
-        at = row["segment"] << SEGMENT_BITS
-        out[at : at + (1 << SEGMENT_BITS)] = np.frombuffer(bytes(row["counts"]), np.uint32)
-    return out
+    out = np.zeros((2 * segments, 1 << SEGMENT_BITS), np.uint32)
+    for row in docs.mapInArrow(count, kinds).repartition(2 * segments, "segment").mapInArrow(merge, kinds).toLocalIterator():  # of fixed size
+        out[row["segment"]] = np.frombuffer(bytes(row["counts"]), np.uint32)
+    return out.reshape(2, -1)
 
 
 def _need(size: np.ndarray, percent: int) -> np.ndarray:
@@ -118,7 +125,7 @@ def _need(size: np.ndarray, percent: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(_id, n, d1, d2, prefix) for each row: set size, digest and the prefix, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(word_counts(docs.select("_text")))  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(counts_of(docs.select("_text"), k))  # of fixed size
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,6 +154,45 @@ def _passes(na: Column, i: Column, nb: Column, j: Column, percent: int) -> Colum
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - i, nb - j) >= F.floor(overlap))
 
 
+def _wanted(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(_id, _packed): texts, compressed, whose id a filter of fixed size over the members holds; others never shuffle."""
+
+    def place(ids: np.ndarray) -> np.ndarray:
+        return (mix64(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[place(np.asarray(batch.column(0)))] = True
+        for s, own in enumerate(bits.reshape(-1, 1 << FILTER_SEGMENT)):
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zstandard.ZstdCompressor().compress(np.packbits(own).tobytes())], pa.binary())], ["segment", "bits"])
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+                found[s] = found[s] | own if s in found else own
+        for s, own in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["segment", "bits"])
+
+    kinds = "segment int, bits binary"
+    on = np.zeros((1 << (FILTER_BITS - FILTER_SEGMENT), 1 << (FILTER_SEGMENT - 3)), np.uint8)
+    for row in members.select("_id").mapInArrow(mark, kinds).repartition(len(on), "segment").mapInArrow(merge, kinds).toLocalIterator():  # of fixed size
+        on[row["segment"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(on.reshape(-1))
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            at = place(np.asarray(batch.column("_id")))
+            batch = batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([squeeze((x or "").encode()) for x in batch.column("_text").to_pylist()], pa.binary())], ["_id", "_packed"])
+
+    return docs.where("_id is not null").select("_id", "_text").mapInArrow(keep, "_id long, _packed binary")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, cell: int = CELL) -> DataFrame:
     """The pairs (a, b) whose texts' sets reach the threshold."""
     spark = docs.sparkSession
@@ -154,12 +200,12 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, cell: int =
     placed = pairs.join(counts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "_n")).alias("_cell"))
     members = placed.select("_cell", F.lit(0).alias("_side"), F.col("a").alias("_id")).distinct().unionByName(placed.select("_cell", F.lit(1).alias("_side"), F.col("b").alias("_id")))
     members = cut(members)
-    cells = members.join(docs.select("_id", "_text"), "_id").repartition(partitions(spark), "_cell").sortWithinPartitions("_cell", "_side", "_id")
+    cells = members.join(_wanted(docs, members), "_id").repartition(partitions(spark), "_cell").sortWithinPartitions("_cell", "_side", "_id")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _sorted_groups(batches):
             side, ids = np.asarray(group.column("_side")), np.asarray(group.column("_id"))
-            texts = group.column("_text").to_pylist()
+            texts = [zstandard.ZstdDecompressor().decompress(x).decode() for x in group.column("_packed").to_pylist()]
             hubs: list[np.ndarray] = []
             out = []
             for at, part in chunks(texts):
@@ -197,20 +243,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     crowded = groups.where("_classes > 1").select(*group, "gid")
     others = cut(classes.select(*group, "cid").join(crowded, group).select("gid", "cid").where("gid != cid"))  # classes that do not lead their group
     posted = groups.select("gid", "n", "weight", F.posexplode("prefix").alias("pos", "token"))
+    shared = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("token"))
+    live = cut(posted.join(shared, "token"))
     lead = F.max_by(F.struct("gid", "n", "pos"), F.struct(F.col("weight"), -F.col("gid")))
-    leads = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), lead.alias("lead")).where("_m > 1").select("token", "lead"))
-    lists = cut(posted.select("token", "gid", "n", "pos").join(leads, "token"))
+    leads = cut(live.groupBy("token").agg(lead.alias("lead")))
+    lists = live.select("token", "gid", "n", "pos").join(leads, "token")
 
     stars = lists.where(F.col("gid") != F.col("lead.gid")).where(_passes(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent))
-    stars = stars.select(F.col("lead.gid").alias("a"), F.col("gid").alias("b")).unionByName(others.select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct()
-    links = cut(verify(rows, cut(stars), k, percent))
+    stars = cut(stars.select(F.col("lead.gid").alias("a"), F.col("gid").alias("b")).unionByName(others.select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct())
+    links = cut(verify(rows, stars, k, percent))
     joined = cut(components(links))
 
     # What the stars left apart: groups of one list, and classes of one group, in different components.
     of = lambda frame, name, out: frame.join(joined.select(F.col("node").alias(name), F.col("component").alias("_c")), name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
-    member = cut(of(others.unionByName(lists.select("gid").distinct().select("gid", F.col("gid").alias("cid"))).distinct(), "cid", "comp"))
+    member = cut(of(others.unionByName(live.select("gid").distinct().select("gid", F.col("gid").alias("cid"))).distinct(), "cid", "comp"))
     state = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    labelled = lists.select("token", "gid", "n", "pos").join(state, "gid")
+    labelled = live.select("token", "gid", "n", "pos").join(state, "gid")
     open_lists = labelled.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo < _hi").select("token")
     rest = cut(labelled.join(open_lists, "token"))
     left, right = rest.alias("x"), rest.alias("y")
@@ -224,6 +272,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(verify(rows, cut(open_pairs.join(tried, ["a", "b"], "left_anti")), k, percent))
     final = cut(components(links.unionByName(more)))
+    for done in (groups, others, shared, live, leads, stars, links, joined, member, rest, more):
+        drop_cut(done)
 
     ids = classes.select(*key, "cid").join(final, F.col("cid") == F.col("node"), "left").select(*key, F.coalesce("component", "cid").alias("_component"))
     out = signed.select("_id", *key).join(ids, key, "left")
