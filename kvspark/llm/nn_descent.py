@@ -9,8 +9,9 @@
 4. Edges at or above the threshold give components.
 5. Audit: a bounded query set is compared with all rows in blocks; the share of its true links whose ends
    share a component is the recall. Below ``target``, tables with new projections and a round are added.
-6. Links are counted exactly inside each component, block against block, without storing pairs; so a
-   node's count does not depend on the length of its list.
+6. Every node is compared with all nodes of its label, block against block, without storing pairs. Links are
+   counted there, and links between components that the lists left apart join them; so neither counts
+   nor components depend on the length of a list. The comparisons grow with the square of a label's nodes.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, those of another dimension
 than most and those with a null label link with nothing and are their own component; rows repeated with
@@ -33,6 +34,8 @@ from kvspark.llm.components import components
 from kvspark.llm.vectors import dimension, inner, matrix, valid
 
 TABLES, LIST, ENLARGED, BLOCK, ROUNDS, AUDIT, TARGET = 8, 8, 64, 256, 3, 256, 0.99
+#: Blocks of the whole comparison hold so many times more nodes; rows compared at once.
+WIDE, SLICE = 8, 512
 EDGE = "a long, b long, s double"
 
 
@@ -182,31 +185,68 @@ def _audit(nodes: DataFrame, joined: DataFrame, d: int, threshold: float) -> flo
 
 
 def _links(nodes: DataFrame, joined: DataFrame, d: int, threshold: float, block: int) -> DataFrame:
-    """(_id, _links): for each node of a component, the vectors that its links reach, counted block against block."""
-    members = nodes.join(joined, nodes["_id"] == joined["node"])
-    sizes = joined.groupBy("component").agg(F.expr(f"(count(1) + {block - 1}) div {block}").cast("int").alias("_blocks"))
-    members = members.join(sizes, "component").withColumn("_block", F.pmod(F.xxhash64("_id"), "_blocks").cast("int"))
-    upto, after = F.explode(F.sequence(F.lit(0), "_block")), F.explode(F.sequence("_block", F.col("_blocks") - 1))
-    cell = lambda i, j: F.xxhash64("component", i, j).alias("_cell")
-    left = members.withColumn("_other", after).select(cell("_block", "_other"), F.lit(0).alias("_side"), "_id", (F.col("_copies") * F.when(F.col("_block") == F.col("_other"), -1).otherwise(1)).cast("double").alias("_bound"), "_v")
-    right = members.withColumn("_other", upto).select(cell("_other", "_block"), F.lit(1).alias("_side"), "_id", F.col("_copies").cast("double").alias("_bound"), "_v")
+    """(_id, _n, _to): every node is compared with all nodes of its label, block against block, and no pair is stored.
+
+    Rows with _n count vectors that a node's links reach. Rows with _to are links between components that
+    are still apart; of those a cell gives as many as it takes to join them, fewer than it has components.
+    """
+    known = nodes.join(joined, nodes["_id"] == joined["node"], "left").withColumn("_component", F.coalesce("component", "_id"))
+    sizes = nodes.groupBy("_label").agg(F.expr(f"(count(1) + {block - 1}) div {block}").cast("int").alias("_blocks"))
+    members = known.join(sizes, "_label").withColumn("_block", F.pmod(F.xxhash64("_id"), "_blocks").cast("int"))
+    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cell = F.xxhash64("_label", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("_cell")
+    cells = members.select(cell, "_block", (F.col("_block") == F.col("_other")).alias("_inside"), "_id", "_component", F.col("_copies").cast("double").alias("_copies"), "_v")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _sorted_groups(batches):
-            side, ids = np.asarray(group.column("_side")), np.asarray(group.column("_id"))
-            copies, x = np.asarray(group.column("_bound")), unit(matrix(group.column("_v"), d))
-            m = int(np.searchsorted(side, 1))
-            if not 0 < m < len(side):
+            side, ids, copies = (np.asarray(group.column(c)) for c in ("_block", "_id", "_copies"))
+            inside = group.column("_inside")[0].as_py()
+            m = 0 if inside else int(np.searchsorted(side, side[-1]))
+            if not inside and not m:
                 continue
-            s = (cosines(x[:m], x[m:], threshold) >= threshold) & (ids[:m, None] != ids[None, m:])
-            out = [(ids[:m], s @ copies[m:])]
-            if copies[0] > 0:  # two blocks: both sides count
-                out.append((ids[m:], copies[:m] @ s))
-            for a, n in out:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.round(n).astype(np.int64))], ["_id", "_n"])
-
-    cells = left.unionByName(right).repartition(partitions(nodes.sparkSession), "_cell").sortWithinPartitions("_cell", "_side", "_id")
-    return cells.mapInArrow(lambda b: _merged(compare(b)), "_id long, _n long").groupBy("_id").agg(F.sum("_n").alias("_links"))
+            x, to = unit(matrix(group.column("_v"), d)), len(ids) if inside else m
+            names, root = np.unique(np.asarray(group.column("_component")), return_inverse=True)
+            n, ends = np.zeros(len(ids)), []
+            for lo in range(0, to, SLICE):
+                hi = min(lo + SLICE, to)
+                s = cosines(x[lo:hi], x[m:], threshold) >= threshold
+                if inside:
+                    s[np.arange(hi - lo), np.arange(lo, hi)] = False
+                else:  # two blocks: both sides count
+                    n[m:] += copies[lo:hi] @ s
+                n[lo:hi] += s @ copies[m:]
+                i, j = np.nonzero(s & (root[lo:hi, None] != root[None, m:]))
+                if len(i):
+                    root, found = _merge(root, np.unique(np.column_stack((root[lo + i], root[m + j])), axis=0))
+                    ends += found
+            some = np.flatnonzero(n)
+            a, b = np.array(ends, np.int64).reshape(-1, 2).T
+            count = pa.array([*np.round(n[some]).astype(np.int64).tolist(), *[None] * len(a)], pa.int64())
+            other = pa.array([*[None] * len(some), *names[b].tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[some], names[a]))), count, other], ["_id", "_n", "_to"])
+
+    cells = cells.repartition(partitions(nodes.sparkSession), "_cell").sortWithinPartitions("_cell", "_block", "_id")
+    return cells.mapInArrow(lambda b: _merged(compare(b)), "_id long, _n long, _to long")
+
+
+def _merge(root: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The roots after the pairs are joined, and those of the pairs that joined two of them."""
+    up: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while (to := up.get(r, r)) != r:
+            up[r] = up.get(to, to)
+            r = to
+        return r
+
+    found = []
+    for a, b in pairs.tolist():
+        x, y = top(a), top(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            found.append((a, b))
+    kinds, at = np.unique(root, return_inverse=True)
+    return np.array([top(r) for r in kinds.tolist()])[at], found
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
@@ -232,7 +272,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
         joined = cut(components(lists.where(F.col("s") >= threshold).select("a", "b")))
         if _audit(nodes, joined, d, threshold) >= TARGET:
             break
-    counts = _links(nodes, joined, d, threshold, block)
+    reached = cut(_links(nodes, joined, d, threshold, WIDE * block))
+    missed = reached.where("_to is not null").select(F.col("_id").alias("a"), F.col("_to").alias("b"))
+    if not missed.isEmpty():
+        joined = cut(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(missed)))
+    counts = reached.where("_n is not null").groupBy("_id").agg(F.sum("_n").alias("_links"))
     found = nodes.join(joined, nodes["_id"] == joined["node"], "left").join(counts, "_id", "left")
     found = found.select("_label", "_v", F.coalesce("component", "_id").alias("_component"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_n"))
     per_id = single.join(found, ["_label", "_v"]).select("_id", "_component", "_n")

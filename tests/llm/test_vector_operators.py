@@ -49,6 +49,42 @@ def test_near_duplicates(spark):
     assert max(len(x) for x in links.values()) > 2 * nn_descent.LIST  # some lists were saturated
 
 
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def exact(x, threshold=0.98):
+    """(n_links, component) of each row of unit vectors under one label."""
+    s = (x @ x.T >= threshold) & ~np.eye(len(x), dtype=bool)
+    root = np.arange(len(x))
+    while True:
+        after = np.minimum(root, np.where(s, root[None, :], len(x)).min(axis=1))
+        if (after == root).all():
+            return s.sum(axis=1).tolist(), root.tolist()
+        root = after
+
+
+def linked(spark, x, **options):
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(frame, **options).collect()}
+    return [got[i][0] for i in range(len(x))], [got[i][1] for i in range(len(x))]
+
+
+def test_near_duplicates_dense_groups(spark):
+    """Two groups whose members all have more than ENLARGED nearer copies in their own group than in the other."""
+    rng = np.random.default_rng(1)
+    far = np.zeros(64)
+    far[0] = 0.197
+    base = unit_rows(rng.standard_normal((1, 64)))
+    base[0, 0] = 0
+    x = np.concatenate([unit_rows(unit_rows(base) + 0.004 * rng.standard_normal((400, 64)) + k * far) for k in range(2)]).astype(np.float32)
+    u = unit_rows(x.astype(float))
+    counts, roots = exact(u)
+    across = u[:400] @ u[400:].T
+    assert (across >= 0.98).any() and np.sort(u[:400] @ u[:400].T, axis=1)[:, -65].min() > across.max() and set(roots) == {0}
+    assert linked(spark, x) == (counts, roots)
+
+
 def test_near_duplicates_edge_cases(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     got = nn_descent.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1e30, 1e29], 1), (4, [1e30, 1e28], 1)], SCHEMA)).collect()
