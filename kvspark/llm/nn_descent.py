@@ -7,9 +7,7 @@
    those that beat the worst of its list. A list whose entries all reach the threshold is saturated and
    enlarged. Rounds end when few lists change.
 4. Edges at or above the threshold give components.
-5. Audit: a bounded query set is compared with all rows in blocks; the share of its true links whose ends
-   share a component is the recall. Below ``target``, tables with new projections and a round are added.
-6. Every node is compared with all nodes of its label, block against block, without storing pairs. Links are
+5. Every node is compared with all nodes of its label, block against block, without storing pairs. Links are
    counted there, and links between components that the lists left apart join them; so neither counts
    nor components depend on the length of a list. The comparisons grow with the square of a label's nodes.
 
@@ -33,7 +31,7 @@ from kvspark.llm.common import cut, partitions
 from kvspark.llm.components import components
 from kvspark.llm.vectors import dimension, inner, matrix, valid
 
-TABLES, LIST, ENLARGED, BLOCK, ROUNDS, AUDIT, TARGET = 8, 8, 64, 256, 3, 256, 0.99
+TABLES, LIST, ENLARGED, BLOCK, ROUNDS = 8, 8, 64, 256, 3
 #: Blocks of the whole comparison hold so many times more nodes; rows compared at once.
 WIDE, SLICE = 8, 512
 EDGE = "a long, b long, s double"
@@ -161,29 +159,6 @@ def _round(nodes: DataFrame, lists: DataFrame, d: int, threshold: float) -> Data
     return cells.repartition(partitions(nodes.sparkSession), "_cell").sortWithinPartitions("_cell", "_id").mapInArrow(lambda b: _merged(compare(b)), EDGE)
 
 
-def _audit(nodes: DataFrame, joined: DataFrame, d: int, threshold: float) -> float:
-    """Share of a bounded query set's true links whose ends are in one component."""
-    queries = nodes.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(AUDIT).select("_label", "_id", "_v").toArrow()
-    if not queries.num_rows:
-        return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast((queries.column("_label").to_pylist(), np.asarray(queries.column("_id")), unit(matrix(queries.column("_v"), d))))
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, own, q = shared.value
-        labels = np.array(labels)
-        for batch in batches:
-            ids = np.asarray(batch.column("_id"))
-            s = cosines(unit(matrix(batch.column("_v"), d)), q, threshold)
-            hit = (s >= threshold) & (np.array(batch.column("_label").to_pylist())[:, None] == labels[None, :]) & (ids[:, None] != own[None, :])
-            i, j = np.nonzero(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(own[j]), pa.array(ids[i])], ["a", "b"])
-
-    links = nodes.select("_label", "_id", "_v").mapInArrow(compare, "a long, b long")
-    of = lambda name: joined.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
-    seen = links.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_a") == F.col("_b")).alias("hit")).first()
-    return seen["hit"] / seen["n"] if seen["n"] else 1.0
-
-
 def _links(nodes: DataFrame, joined: DataFrame, d: int, threshold: float, block: int) -> DataFrame:
     """(_id, _n, _to): every node is compared with all nodes of its label, block against block, and no pair is stored.
 
@@ -259,19 +234,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     classes = single.groupBy("_label", "_v").agg(F.min("_id").alias("_node"), F.count(F.lit(1)).alias("_copies"))
     nodes = cut(classes.select(F.col("_node").alias("_id"), "_label", "_v", "_copies"))
     n = nodes.count()
-    lists, joined = None, None
-    for attempt in range(4):
-        fresh = _first_lists(nodes, d, threshold, n, 17 + attempt, block)
-        lists = cut(_best(fresh if lists is None else lists.unionByName(fresh), threshold))
-        for _ in range(ROUNDS if attempt == 0 else 1):
-            offers = cut(_round(nodes, lists, d, threshold))
-            changed = offers.count()
-            lists = cut(_best(lists.unionByName(offers), threshold))
-            if changed < 0.01 * n * LIST:
-                break
-        joined = cut(components(lists.where(F.col("s") >= threshold).select("a", "b")))
-        if _audit(nodes, joined, d, threshold) >= TARGET:
+    lists = cut(_best(_first_lists(nodes, d, threshold, n, 17, block), threshold))
+    for _ in range(ROUNDS):
+        offers = cut(_round(nodes, lists, d, threshold))
+        changed = offers.count()
+        lists = cut(_best(lists.unionByName(offers), threshold))
+        if changed < 0.01 * n * LIST:
             break
+    joined = cut(components(lists.where(F.col("s") >= threshold).select("a", "b")))
     reached = cut(_links(nodes, joined, d, threshold, WIDE * block))
     missed = reached.where("_to is not null").select(F.col("_id").alias("a"), F.col("_to").alias("b"))
     if not missed.isEmpty():

@@ -85,6 +85,19 @@ def test_near_duplicates_dense_groups(spark):
     assert linked(spark, x) == (counts, roots)
 
 
+def crowd(n, pairs, group):
+    """n vectors with a mean cosine of 0.8, near copies of the first ones and of the last one."""
+    rng = np.random.default_rng(2)
+    x = unit_rows(unit_rows(rng.standard_normal((n, 64))) + 2 * unit_rows(rng.standard_normal((1, 64))))
+    copies = [x[:pairs] + 0.018 * rng.standard_normal((pairs, 64)), x[-1:] + 0.008 * rng.standard_normal((group, 64))]
+    return unit_rows(np.concatenate([x, *copies])).astype(np.float32)
+
+
+def test_near_duplicates_pairs_beside_large_group(spark):
+    x = crowd(1500, 150, 700)
+    assert linked(spark, x, block=32) == exact(unit_rows(x.astype(float)))
+
+
 def test_near_duplicates_edge_cases(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     got = nn_descent.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1e30, 1e29], 1), (4, [1e30, 1e28], 1)], SCHEMA)).collect()
