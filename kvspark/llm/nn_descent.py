@@ -5,7 +5,7 @@
    by a hash) are compared inside; each node keeps its best neighbours.
 3. Rounds: each node's neighbours and reverse neighbours meet in a local join, which offers every member
    those that beat the worst of its list. A list whose entries all reach the threshold is saturated and
-   enlarged. Rounds end when few lists change.
+   enlarged. Rounds end when at most 1 % of the entries are new.
 4. Edges at or above the threshold give components.
 5. Every node is compared with all nodes of its label, block against block, without storing pairs. Links are
    counted there, and links between components that the lists left apart join them; so neither counts
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvspark.llm.ann import _merged
-from kvspark.llm.common import cut, partitions
+from kvspark.llm.common import cut, drop_cut, partitions
 from kvspark.llm.components import components
 from kvspark.llm.vectors import dimension, inner, matrix, valid
 
-TABLES, LIST, ENLARGED, BLOCK, ROUNDS = 8, 8, 64, 256, 3
+TABLES, LIST, ENLARGED, BLOCK = 8, 8, 64, 256
+#: Rounds end when at most this share of the lists' usual entries is new.
+FEW = 0.01
 #: Blocks of the whole comparison hold so many times more nodes; rows compared at once.
 WIDE, SLICE = 8, 512
 EDGE = "a long, b long, s double"
@@ -121,8 +123,8 @@ def _sorted_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _best(edges: DataFrame, threshold: float) -> DataFrame:
-    """The lists: each node's LIST best neighbours, or up to ENLARGED while all of them reach the threshold."""
-    once = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
+    """The lists: each node's LIST best neighbours, or up to ENLARGED while all of them reach the threshold; ``turn`` is the round an entry came in."""
+    once = edges.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("turn").alias("turn"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
     return once.withColumn("_place", place).where(F.col("_place") <= ENLARGED).where((F.col("_place") <= LIST) | (F.col("s") >= threshold)).drop("_place")
 
@@ -234,13 +236,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     classes = single.groupBy("_label", "_v").agg(F.min("_id").alias("_node"), F.count(F.lit(1)).alias("_copies"))
     nodes = cut(classes.select(F.col("_node").alias("_id"), "_label", "_v", "_copies"))
     n = nodes.count()
-    lists = cut(_best(_first_lists(nodes, d, threshold, n, 17, block), threshold))
-    for _ in range(ROUNDS):
-        offers = cut(_round(nodes, lists, d, threshold))
-        changed = offers.count()
-        lists = cut(_best(lists.unionByName(offers), threshold))
-        if changed < 0.01 * n * LIST:
-            break
+    lists = cut(_best(_first_lists(nodes, d, threshold, n, 17, block).withColumn("turn", F.lit(0)), threshold))
+    turn, changed = 0, n * LIST
+    while changed > FEW * n * LIST:
+        turn, before = turn + 1, lists
+        lists = cut(_best(before.unionByName(_round(nodes, before, d, threshold).withColumn("turn", F.lit(turn))), threshold))
+        changed = lists.where(F.col("turn") == turn).count()
+        drop_cut(before)
     joined = cut(components(lists.where(F.col("s") >= threshold).select("a", "b")))
     reached = cut(_links(nodes, joined, d, threshold, WIDE * block))
     missed = reached.where("_to is not null").select(F.col("_id").alias("a"), F.col("_to").alias("b"))

@@ -98,6 +98,11 @@ def test_near_duplicates_pairs_beside_large_group(spark):
     assert linked(spark, x, block=32) == exact(unit_rows(x.astype(float)))
 
 
+def test_near_duplicates_pairs_in_crowded_cells(spark):
+    x = crowd(2000, 400, 0)
+    assert linked(spark, x, block=16) == exact(unit_rows(x.astype(float)))
+
+
 def test_near_duplicates_edge_cases(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     got = nn_descent.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1e30, 1e29], 1), (4, [1e30, 1e28], 1)], SCHEMA)).collect()
