@@ -5,7 +5,8 @@ texts (at most ``sample`` of either label, the first by a hash of the id). Of ne
 found by two minimum hashes of their shingles, one is used, or a copied text's ordinary words would look
 like a label's. A unit's score is its
 log-odds ratio between the labels under a Dirichlet prior that follows the pooled counts; units whose
-ratio is large and well beyond its standard error are listed. A word takes the score of its longest
+ratio is large and, by Fisher's exact test, beyond chance (the tail of LEAST_Z standard errors) are listed;
+the test holds for words that no clean text has and for labels of unequal size. A word takes the score of its longest
 listed unit, so inflected forms that were never seen still count; other words score slightly below 0.
 
 Scan. One pass over a text's words finds all maximal scoring segments (Ruzzo and Tompa), in time linear
@@ -41,7 +42,7 @@ from kvspark.llm.jaccard import shingle_sets
 #: Labelled texts of either label that the fit reads at most; units that it lists at most.
 SAMPLE, LISTED = 10_000, 65_536
 PREFIXES = (6, 5, 4)
-#: Weight of the prior, least log-odds and standard errors of a listed unit, share of listed words in a toxic passage.
+#: Weight of the prior, least log-odds of a listed unit and standard errors with the chance it may have, share of listed words in a toxic passage.
 PRIOR, LEAST_ODDS, LEAST_Z, PASSAGE = 20.0, math.log(5), 4.0, 0.2
 CHUNK_CHARS = 50_000
 PASSAGES = "array<struct<start:int,end:int,score:double,evalue:double>>"
@@ -184,6 +185,21 @@ class Scanner:
                 yield evidence, passages, hi - lo
 
 
+def log_tail(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """Log of the chance that of a + b draws from n_a + n_b texts, a or more are of the first kind (Fisher's exact test)."""
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n_a + n_b + 1)))))
+    choose = lambda n, k: logs[n] - logs[k] - logs[n - k]
+    first = choose(n_a, a) + choose(n_b, b) - choose(n_a + n_b, a + b)
+    total, term, at = np.ones(len(a)), np.ones(len(a)), np.arange(len(a))
+    x, y = a.astype(float), b.astype(float)
+    while len(at):
+        term = term * (n_a - x) * y / ((x + 1) * (n_b - y + 1))
+        total[at] += term
+        more = term > total[at] * 1e-17
+        at, term, x, y = at[more], term[more], x[more] + 1, y[more] - 1
+    return np.minimum(first + np.log(total), 0.0)
+
+
 def _lambda(scores: np.ndarray, shares: np.ndarray, other: float) -> float:
     def excess(x: float) -> float:
         return float(np.sum(shares * np.exp(np.minimum(x * scores, 700)))) + (1 - shares.sum()) * math.exp(x * other) - 1
@@ -240,9 +256,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n0 + n1)
     odds = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
     delta = odds(F.col("toxic"), n1) - odds(F.col("clean"), n0)
-    z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    listed = counts.where("unit != 0").withColumn("delta", delta).withColumn("z", z).where((F.abs("delta") >= LEAST_ODDS) & (F.abs("z") >= LEAST_Z))
-    found = listed.orderBy(F.desc(F.abs("z")), "unit").limit(LISTED).select("unit", "clean", "delta").toPandas()
+    wide = counts.where("unit != 0").withColumn("delta", delta).where(F.abs("delta") >= LEAST_ODDS).select("unit", "clean", "toxic", "delta")
+    level = math.log(math.erfc(LEAST_Z / math.sqrt(2)) / 2)
+
+    def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean, toxic, delta = (np.asarray(batch.column(c)) for c in ("clean", "toxic", "delta"))
+            chance = np.where(delta > 0, log_tail(toxic, clean, n1, n0), log_tail(clean, toxic, n0, n1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], [*batch.schema.names, "chance"]).filter(pa.array(chance <= level))
+
+    listed = wide.mapInArrow(test, "unit long, clean long, toxic long, delta double, chance double")
+    found = listed.orderBy("chance", "unit").limit(LISTED).select("unit", "clean", "delta").toPandas()
     words = counts.where("unit = 0").select("clean").first()["clean"]
     units = found["unit"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(units)

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -319,6 +320,32 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_log_tail():
+    for n_a, n_b in ((10, 58), (40, 7)):
+        for a in range(0, 6):
+            for b in range(0, 6):
+                chance = sum(math.comb(n_a, k) * math.comb(n_b, a + b - k) for k in range(a, a + b + 1)) / math.comb(n_a + n_b, a + b)
+                assert math.isclose(toxicity.log_tail(np.array([a]), np.array([b]), n_a, n_b)[0], math.log(chance), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_toxicity_rare_label(spark):
+    """Words that no clean text has, each in about a third of few toxic texts."""
+    random.seed(11)
+    common = ["".join(random.choices("abcdefgh", k=5)) for _ in range(200)]
+    bad = ["".join(random.choices("mnopqrst", k=7)) for _ in range(10)]
+    texts = []
+    for i in range(2000):
+        words = random.choices(common, k=random.randint(10, 40))
+        for x in random.sample(bad, 3) if i % 33 == 0 else ():
+            words.insert(random.randrange(len(words)), x)
+        texts.append((i, " ".join(words), int(i % 33 == 0)))
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).select("_row.doc_id", "predicted").collect()}
+    assert sum(found[i] for i, _, y in texts if y) >= 0.95 * sum(y for *_, y in texts)
+    assert sum(found[i] for i, _, y in texts if not y) <= 2
+
+
 # --- licences ---
 
 
