@@ -1,11 +1,12 @@
 """Mixing sources to target weights with a low-discrepancy schedule, with DataFrame functions alone.
 
 Sources share the total size by weight; no source gives more than ``max_epochs`` times its own size,
-and what it cannot give goes to the others by weight. The mix is a row of slots of equal size. Slot i
-stands at the golden-ratio point frac(i * 0.618...) of the line of cumulative targets and so belongs to
-one source; its rank among that source's slots names the block it takes: each source's documents are
-shuffled by a hash, laid end to end and cut into blocks of the slot size, and the ranks run through the
-blocks, again from the start after the last. Every prefix of the schedule is close to the targets.
+and what it cannot give goes to the others by weight. The mix is a row of slots. Slot i stands at the
+golden-ratio point frac(i * 0.618...) of the line of cumulative targets and so belongs to one source; a
+source that no point falls into takes part in the slot that has its place on the line. Each source's
+documents are shuffled by a hash and laid end to end, again from the start after the last; its slots
+share its target in equal parts, one after another by their rank, so a source gives its target rounded
+to a word, however small it is. Every prefix of the schedule is close to the targets.
 
 Running totals inside a source go over 4,096 hash buckets first, so a source with a third of all rows
 is never in one task; slot ranks go over chunks of slots likewise.
@@ -45,34 +46,51 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     return t.withColumn("target", F.when(F.col("_final").isNull() | (F.col("_ratio") <= F.col("_final")), F.col("_cap").cast("double")).otherwise(F.col("_w") * F.col("_final"))).select("_key", "source_size", "target")
 
 
-def schedule(spark_targets: DataFrame, slots: int, block: int, max_epochs: int = 3) -> DataFrame:
-    """(slot, _key, epoch, block): which block of which source each slot of the mix takes."""
+def _drawn(spark_targets: DataFrame, slots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The line of targets, (slot, _key, _rank) of each slot, and the number of slots that each source has."""
     spark = spark_targets.sparkSession
     run = Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     whole = F.sum("target").over(Window.partitionBy())
     line = spark_targets.where("target > 0").withColumn("_to", F.sum("target").over(run)).withColumn("_whole", whole)
     line = line.withColumn("_to", F.when(F.row_number().over(Window.orderBy(F.desc("_key"))) == 1, F.lit(2.0)).otherwise(F.col("_to") / F.col("_whole")))
     line = line.withColumn("_from", F.lag("_to", 1, 0.0).over(Window.orderBy("_key")))
+    places = line
     cell = F.explode(F.sequence(F.floor(F.col("_from") * CELLS).cast("int"), F.least(F.floor(F.col("_to") * CELLS), F.lit(CELLS - 1)).cast("int")))
-    line = line.withColumn("_cell", cell).select("_cell", "_key", "_from", "_to", F.expr(f"(source_size + {block - 1}) div {block}").alias("_blocks"))
+    line = line.withColumn("_cell", cell).select("_cell", "_key", "_from", "_to")
     point = F.col("slot") * F.lit(GOLDEN)
     at = spark.range(slots).withColumnRenamed("id", "slot").withColumn("_point", point - F.floor(point)).withColumn("_cell", F.floor(F.col("_point") * CELLS).cast("int"))
-    drawn = at.join(line, "_cell").where("_point >= _from and _point < _to").select("slot", "_key", "_blocks", F.expr(f"slot div {CHUNK}").alias("_chunk"))
+    drawn = at.join(line, "_cell").where("_point >= _from and _point < _to").select("slot", "_key", F.expr(f"slot div {CHUNK}").alias("_chunk"))
     counts = drawn.groupBy("_key", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_key", "_chunk", offset.alias("_offset"))
     inside = F.row_number().over(Window.partitionBy("_key", "_chunk").orderBy("slot")) - 1
     ranked = drawn.withColumn("_inside", inside).join(offsets, ["_key", "_chunk"]).withColumn("_rank", F.col("_offset") + F.col("_inside"))
+    return places, ranked.select("slot", "_key", "_rank"), counts.groupBy("_key").agg(F.sum("_n").alias("_slots"))
+
+
+def schedule(spark_targets: DataFrame, slots: int) -> DataFrame:
+    """(slot, _key, first, end): the words that each slot of the mix takes from the repeated row of its source."""
+    line, ranked, numbers = _drawn(spark_targets, slots)
+    own = line.select("_key", F.round("target").cast("long").alias("_target"), F.least(F.floor((F.col("_from") + F.least("_to", F.lit(1.0))) / 2 * slots), F.lit(slots - 1)).cast("long").alias("_place"))
+    shared = own.join(numbers, "_key", "left").withColumn("_slots", F.coalesce("_slots", F.lit(0)))
+    every = ranked.join(shared, "_key").unionByName(shared.where("_slots = 0").withColumns({"slot": F.col("_place"), "_rank": F.lit(0), "_slots": F.lit(1)}), allowMissingColumns=True)
+    upto = lambda rank: F.floor(F.col("_target") * (rank / F.col("_slots"))).cast("long")
+    return every.select("slot", "_key", upto(F.col("_rank")).alias("first"), upto(F.col("_rank") + 1).alias("end"))
+
+
+def block_schedule(spark_targets: DataFrame, slots: int, block: int, max_epochs: int = 3) -> DataFrame:
+    """(slot, _key, epoch, block): slots that all take a block of ``block`` words, or the short last one, as in the SQL of op3_mixing."""
+    ranked = _drawn(spark_targets, slots)[1].join(spark_targets.select("_key", F.expr(f"(source_size + {block - 1}) div {block}").alias("_blocks")), "_key")
     return ranked.select("slot", "_key", F.expr("_rank div _blocks").alias("epoch"), F.expr("_rank % _blocks").alias("block")).where(F.col("epoch") < max_epochs)
 
 
 def block_size(total: int) -> int:
-    """Words a slot: 65,536 slots in a small mix, 4,096 words at most."""
+    """Words a slot, about: 65,536 slots in a small mix, 4,096 words at most."""
     return min(4096, max(1, total // 65536))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
-    """(id, source, size, source_size, target, taken) for each row."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, blocks: bool = False) -> DataFrame:
+    """(id, source, size, source_size, target, taken) for each row; with ``blocks`` by slots of whole blocks, which sources below some blocks in size miss their targets by."""
     key: Column = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
     rows = cut(docs.select(
         F.col(id_col).alias("_id"), key.alias("_key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
@@ -81,7 +99,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = rows.agg(F.sum("_size")).first()[0] or 0
     block = block_size(total)
     aims = targets(rows.groupBy("_key").agg(F.sum("_size").alias("source_size")), weights, max_epochs)
-    takes = schedule(aims, -(-total // block), block, max_epochs).groupBy("_key", "block").agg(F.count(F.lit(1)).alias("_takes"))
 
     bucket = F.substring("_hash", 1, 3).alias("_bucket")
     sums = rows.groupBy("_key", bucket).agg(F.sum("_size").alias("_n"))
@@ -90,9 +107,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     laid = rows.withColumn("_bucket", bucket).withColumn("_inside", inside).join(sums.select("_key", "_bucket", base.alias("_base")), ["_key", "_bucket"])
     laid = laid.select("_id", "_key", "_size", (F.col("_base") + F.col("_inside")).alias("_start"))
 
-    spans = laid.where("_size > 0").withColumn("block", F.explode(F.expr(f"sequence(_start div {block}, (_start + _size - 1) div {block})")))
-    overlap = F.least(F.col("_start") + F.col("_size"), (F.col("block") + 1) * block) - F.greatest(F.col("_start"), F.col("block") * block)
-    taken = spans.join(takes, ["_key", "block"], "left").groupBy("_key", "_start", "_id", "_size").agg(F.sum(overlap * F.coalesce("_takes", F.lit(0))).alias("taken"))
-    every = taken.select("_key", "_id", "_size", "taken").unionByName(laid.where("_size = 0").select("_key", "_id", "_size", F.lit(0).cast("long").alias("taken")))
+    if blocks:
+        takes = block_schedule(aims, -(-total // block), block, max_epochs).groupBy("_key", "block").agg(F.count(F.lit(1)).alias("_takes"))
+        spans = laid.where("_size > 0").withColumn("block", F.explode(F.expr(f"sequence(_start div {block}, (_start + _size - 1) div {block})")))
+        overlap = F.least(F.col("_start") + F.col("_size"), (F.col("block") + 1) * block) - F.greatest(F.col("_start"), F.col("block") * block)
+        taken = spans.join(takes, ["_key", "block"], "left").groupBy("_key", "_start", "_id", "_size").agg(F.sum(overlap * F.coalesce("_takes", F.lit(0))).alias("taken"))
+        every = taken.select("_key", "_id", "_size", "taken").unionByName(laid.where("_size = 0").select("_key", "_id", "_size", F.lit(0).cast("long").alias("taken"))).join(aims, "_key")
+    else:
+        # The slots of a source take its row from the first word on: whole rounds, and the beginning of the last.
+        takes = schedule(aims, -(-total // block)).groupBy("_key").agg(F.sum(F.col("end") - F.col("first")).alias("_words"))
+        rest = F.least("_size", F.greatest(F.lit(0), F.expr("_words % nullif(source_size, 0)") - F.col("_start")))
+        every = laid.join(aims, "_key").join(takes, "_key", "left").withColumn("taken", F.when(F.col("_size") > 0, F.coalesce(F.col("_size") * F.expr("_words div nullif(source_size, 0)") + rest, F.lit(0))).otherwise(0).cast("long"))
     source = F.when(F.col("_key") == "1", None).otherwise(F.expr("substring(_key, 2)"))
-    return every.join(aims, "_key").select(F.col("_id").alias(id_col), source.alias(source_col), F.col("_size").alias("size"), "source_size", "target", "taken")
+    return every.select(F.col("_id").alias(id_col), source.alias(source_col), F.col("_size").alias("size"), "source_size", "target", "taken")

@@ -30,7 +30,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), blocks=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

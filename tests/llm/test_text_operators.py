@@ -261,6 +261,27 @@ def test_mixing(spark, docs, rows):
     assert mixing.mix(empty(spark)).collect() == []
 
 
+def test_mixing_small_sources_beside_large(spark):
+    """Sources below a slot's size, or little above it, reach their targets; the large ones make slots of 152 words."""
+    sizes = {"a": 5_000_000, "b": 5_000_000, "c": 40, "d": 100, "e": 160, "f": 1}
+    texts = spark.createDataFrame([(k, n // max(1, n // 5000) if n > 5000 else 1, max(1, n // 5000) if n > 5000 else n) for k, n in sizes.items()], "source string, words int, copies int")
+    docs = texts.withColumn("i", F.explode(F.sequence(F.lit(1), "copies"))).select(F.concat("source", F.col("i").cast("string")).alias("doc_id"), F.expr("trim(repeat('w ', words))").alias("text"), "source")
+    got = {r["source"]: (r["n"], r["target"], r["taken"]) for r in mixing.mix(docs).groupBy("source").agg(F.sum("size").alias("n"), F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    targets = plain_targets(sizes)
+    assert {k: x[0] for k, x in got.items()} == sizes
+    assert all(math.isclose(got[k][1], t, rel_tol=1e-9) and abs(got[k][2] - t) <= 0.5 for k, t in targets.items()), (got, targets)
+
+
+def test_mixing_schedule(spark):
+    """Slots follow one another in each source and reach its target, also where no point falls into the source."""
+    aims = {"0a": 700.0, "0b": 299.6, "0c": 0.8, "1": 0.0}
+    rows = mixing.schedule(spark.createDataFrame([(k, 1000, t) for k, t in aims.items()], "_key string, source_size long, target double"), 50).collect()
+    for k, t in aims.items():
+        own = sorted((r["slot"], r["first"], r["end"]) for r in rows if r["_key"] == k)
+        assert [x[1] for x in own[1:]] == [x[2] for x in own[:-1]] and (not own or own[0][1] == 0)
+        assert (own[-1][2] if own else 0) == round(t) and all(0 <= s < 50 for s, *_ in own)
+
+
 def test_targets_cap_and_share(spark):
     for sizes in ({"a": 1000, "b": 1, "c": 2}, {"a": 5, "b": 0, None: 100}, {"x": 7}):
         key = lambda s: "1" if s is None else "0" + s
