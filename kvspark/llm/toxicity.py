@@ -5,8 +5,8 @@ texts (at most ``sample`` of either label, the first by a hash of the id). Of ne
 found by two minimum hashes of their shingles, one is used, or a copied text's ordinary words would look
 like a label's. A unit's score is its
 log-odds ratio between the labels under a Dirichlet prior that follows the pooled counts; units whose
-ratio is large and, by Fisher's exact test, beyond chance (the tail of LEAST_Z standard errors) are listed;
-the test holds for words that no clean text has and for labels of unequal size. A word takes the score of its longest
+ratio is large and either LEAST_Z standard errors from 0 or, by Fisher's exact test, as far beyond chance are
+listed; the exact test holds for words that no clean text has and for labels of unequal size. A word takes the score of its longest
 listed unit, so inflected forms that were never seen still count; other words score slightly below 0.
 
 Scan. One pass over a text's words finds all maximal scoring segments (Ruzzo and Tompa), in time linear
@@ -256,16 +256,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = PRIOR * (F.col("clean") + F.col("toxic")) / (n0 + n1)
     odds = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
     delta = odds(F.col("toxic"), n1) - odds(F.col("clean"), n0)
-    wide = counts.where("unit != 0").withColumn("delta", delta).where(F.abs("delta") >= LEAST_ODDS).select("unit", "clean", "toxic", "delta")
+    z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
+    wide = counts.where("unit != 0").withColumn("delta", delta).withColumn("z", z).where(F.abs("delta") >= LEAST_ODDS).select("unit", "clean", "toxic", "delta", "z")
     level = math.log(math.erfc(LEAST_Z / math.sqrt(2)) / 2)
 
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean, toxic, delta = (np.asarray(batch.column(c)) for c in ("clean", "toxic", "delta"))
             chance = np.where(delta > 0, log_tail(toxic, clean, n1, n0), log_tail(clean, toxic, n0, n1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], [*batch.schema.names, "chance"]).filter(pa.array(chance <= level))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], [*batch.schema.names, "chance"]).filter(pa.array((chance <= level) | (np.abs(np.asarray(batch.column("z"))) >= LEAST_Z)))
 
-    listed = wide.mapInArrow(test, "unit long, clean long, toxic long, delta double, chance double")
+    listed = wide.mapInArrow(test, "unit long, clean long, toxic long, delta double, z double, chance double")
     found = listed.orderBy("chance", "unit").limit(LISTED).select("unit", "clean", "delta").toPandas()
     words = counts.where("unit = 0").select("clean").first()["clean"]
     units = found["unit"].to_numpy(np.int64).view(np.uint64)
