@@ -5,7 +5,7 @@ texts (at most ``sample`` of either label, the first by a hash of the id). Of ne
 found by two minimum hashes of their shingles, one is used, or a copied text's ordinary words would look
 like a label's. A unit's score is its
 log-odds ratio between the labels under a Dirichlet prior that follows the pooled counts; units whose
-ratio is large and either LEAST_Z standard errors from 0 or, by Fisher's exact test, as far beyond chance are
+ratio is large and either LEAST_Z standard errors from 0 (in units that are not rare) or, by Fisher's exact test, as far beyond chance are
 listed; the exact test holds for words that no clean text has and for labels of unequal size. A word takes the score of its longest
 listed unit, so inflected forms that were never seen still count; other words score slightly below 0.
 
@@ -44,6 +44,8 @@ SAMPLE, LISTED = 10_000, 65_536
 PREFIXES = (6, 5, 4)
 #: Weight of the prior, least log-odds of a listed unit and standard errors with the chance it may have, share of listed words in a toxic passage.
 PRIOR, LEAST_ODDS, LEAST_Z, PASSAGE = 20.0, math.log(5), 4.0, 0.2
+#: Texts of the rarer label that a unit must be expected in for its standard error to count (Cochran's rule).
+LEAST_EXPECTED = 5
 CHUNK_CHARS = 50_000
 PASSAGES = "array<struct<start:int,end:int,score:double,evalue:double>>"
 
@@ -264,7 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             clean, toxic, delta = (np.asarray(batch.column(c)) for c in ("clean", "toxic", "delta"))
             chance = np.where(delta > 0, log_tail(toxic, clean, n1, n0), log_tail(clean, toxic, n0, n1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], [*batch.schema.names, "chance"]).filter(pa.array((chance <= level) | (np.abs(np.asarray(batch.column("z"))) >= LEAST_Z)))
+            expected = (clean + toxic) * min(n0, n1) / (n0 + n1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], [*batch.schema.names, "chance"]).filter(pa.array((chance <= level) | (expected >= LEAST_EXPECTED) & (np.abs(np.asarray(batch.column("z"))) >= LEAST_Z)))
 
     listed = wide.mapInArrow(test, "unit long, clean long, toxic long, delta double, z double, chance double")
     found = listed.orderBy("chance", "unit").limit(LISTED).select("unit", "clean", "delta").toPandas()
