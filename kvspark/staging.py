@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 _STAGED: list[tuple[SparkSession, str]] = []
 _OWN_DIR: list[str] = []
 
+#: The planner says this size or more of tables that it knows nothing about.
+UNKNOWN = 1 << 60
 #: A key with more than one in so many of all rows is heavy; so there are fewer heavy keys than this.
 HEAVY = 1024
 
@@ -98,9 +100,9 @@ def stable(df: DataFrame) -> DataFrame:
 
 
 def tasks(df: DataFrame, bytes_a_task: int = 64 << 20) -> int:
-    """Partitions of a shuffle that follow the size of a table of files; the session's number at least."""
+    """Partitions of a shuffle that follow the size of a table of files; the session's number at least, also where the size is unknown."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(partitions(df.sparkSession), min(-(-size // bytes_a_task), 1_000_000))
+    return max(partitions(df.sparkSession), -(-size // bytes_a_task) if size < UNKNOWN else 1)
 
 
 def partitions(spark: SparkSession) -> int:
