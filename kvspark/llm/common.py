@@ -1,80 +1,34 @@
-"""Helpers that the training-data operators share: tables, lineage cuts and hashing."""
+"""Helpers that the training-data operators share."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_STAGED: list[tuple[SparkSession, str]] = []
-_OWN_DIR: list[str] = []
+from kvspark.staging import HEAVY, cut, drop_cut, drop_staged, join_back, partitions, release, stable, staged, tasks
+
+__all__ = ["HEAVY", "cut", "drop_cut", "drop_staged", "join_back", "mix64", "partitions", "release", "stable", "staged", "table", "tasks", "tree_merge"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="kvspark-stages-"))
-    return _OWN_DIR[0]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that lineage ends there.
-
-    The table survives a lost executor, keeps column pruning and gives the optimizer true sizes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(df_or_none: DataFrame | None = None) -> None:
-    """Delete the tables that cut() wrote; call it once the results that read them are stored."""
-    while _STAGED:
-        spark, path = _STAGED.pop()
-        with contextlib.suppress(Exception):
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the table behind one cut() result that is no longer read."""
-    with contextlib.suppress(Exception):
-        name = next(x for x in df.inputFiles()[0].split("/") if x.startswith("stage-"))
-        for spark, path in list(_STAGED):
-            if path.endswith(name):
-                _STAGED.remove((spark, path))
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean_own() -> None:
-    import shutil
-
-    for path in _OWN_DIR:
-        shutil.rmtree(path, ignore_errors=True)
-
-
-atexit.register(_clean_own)
+#: Parts of one segment that a task merges at most, about.
+FAN_IN = 64
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def tree_merge(parts: DataFrame, merge: Callable, segments: int, inputs: int) -> DataFrame:
+    """Parts (segment, ...) that ``inputs`` tasks made, merged to one a segment, by a tree whose width follows their number."""
+    kinds = parts.schema
+    while inputs > FAN_IN:
+        inputs = -(-inputs // FAN_IN)
+        placed = parts.withColumn("_group", F.spark_partition_id() % inputs).repartition(segments * inputs, "segment", "_group")
+        parts = placed.drop("_group").mapInArrow(merge, kinds)
+    return parts.repartition(segments, "segment").mapInArrow(merge, kinds)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
