@@ -1,24 +1,28 @@
 """License scans by sentence rules: sentences become identifiers, identifier sequences become licences.
 
-1. A text is split into sentences (a full stop, ! or ? before white space, or the end of a line) and each
-   is normalised: lower case, letters and digits only, single spaces. A sentence that runs over line ends
-   is joined with the lines that follow it.
-2. Known sentences map to identifiers through one table; copyright lines are one identifier, others none.
-3. Ordered rules match runs of identifiers, the first rule that fits wins and uses its sentences up; gaps
-   of at most ``GAP`` unknown sentences and copyright lines inside a run do not matter.
+1. A text becomes its words (letters and digits, lower case) and the places where a sentence or a line
+   starts. A known sentence is found where its words stand from one such place to the next, over any number
+   of line ends and list or comment marks; of those that start at one place the longest counts. ``<name>``
+   in a known sentence stands for up to NAME words.
+2. Each known sentence has an identifier; copyright lines and SPDX tags have identifiers of their own.
+3. Ordered rules match runs of identifiers, the first rule that fits wins and uses its sentences up. Inside
+   a run at most ``GAP`` pieces of other text and any copyright lines may stand; whole licence bodies, of
+   which some sentences are known, may have any text between them. A tag names its licence itself.
 
 Texts that hold none of the words that every known sentence has are passed over at once. The work is a
 map over whole texts: no shuffle, no state, any size of table.
 
-Cases: null and empty texts have no licence; repeated rows each get their row; other columns are not
-read; an empty table gives an empty table.
+Cases: null and empty texts have no licence; texts of any length are read whole; null ids and repeated rows
+each get their row; other columns are not read, so they may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.types import _parse_datatype_string as kind
 
-GAP, JOINED = 3, 12
+#: Pieces of other text inside a run, and words that a name may have, at most.
+GAP, NAME = 3, 64
 
 # Known licence sentences, as they are written, and their identifiers.
 SENTENCES = [
@@ -44,7 +49,7 @@ SENTENCES = [
     ("BSD-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("BSD-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("BSD-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-endorse", "Neither the name of <name> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("Apache-ref", "Licensed under the Apache License, Version 2.0."),
     ("Apache-ref", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("Apache-ref", "This work is licensed under the Apache License, Version 2.0."),
@@ -65,10 +70,38 @@ SENTENCES = [
     ("CC-BY-NC-ref", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-ref", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-ref", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("Apache-copyright", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("Apache-redistribution", "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form, provided that You meet the following conditions: (a) You must give any other recipients of the Work or Derivative Works a copy of this License; and"),
+    ("Apache-warranty", "You are solely responsible for determining the appropriateness of using or redistributing the Work and assume any risks associated with Your exercise of permissions under this License."),
+    ("GPL3-title", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL3-preamble", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("GPL3-verbatim", "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice; keep intact all notices stating that this License and any non-permissive terms added in accord with section 7 apply to the code; keep intact all notices of the absence of any warranty; and give all recipients a copy of this License along with the Program."),
+    ("GPL2-title", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL2-applies", "This License applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this General Public License."),
+    ("GPL2-verbatim", "You may copy and distribute verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty; keep intact all the notices that refer to this License and to the absence of any warranty; and give any other recipients of the Program a copy of this License along with the Program."),
+    ("LGPL3-title", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL3-incorporates", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("LGPL3-exception", "You may convey a covered work under sections 3 and 4 of this License without being bound by section 3 of the GNU GPL."),
+    ("LGPL2.1-title", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL2.1-applies", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it."),
+    ("LGPL2.1-lesser", "The Lesser General Public License permits more lax criteria for linking other code with the library."),
+    ("MPL2-title", "Mozilla Public License Version 2.0"),
+    ("MPL2-scope", "The licenses granted in this Section 2 are the only rights granted under this License."),
+    ("MPL2-marks", "This License does not grant any rights in the trademarks, service marks, or logos of any Contributor (except as may be necessary to comply with the notice requirements in Section 3.4)."),
+    ("CC0-title", "CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP. CREATIVE COMMONS PROVIDES THIS INFORMATION ON AN \"AS-IS\" BASIS. CREATIVE COMMONS MAKES NO WARRANTIES REGARDING THE USE OF THIS DOCUMENT OR THE INFORMATION OR WORKS PROVIDED HEREUNDER, AND DISCLAIMS LIABILITY FOR DAMAGES RESULTING FROM THE USE OF THIS DOCUMENT OR THE INFORMATION OR WORKS PROVIDED HEREUNDER."),
     ("Unlicense-grant", "This is free and unencumbered software released into the public domain."),
 ]
 
-# Rules in the order in which they are tried.
+# Rules in the order in which they are tried; the first ones are bodies, with any text between their sentences.
+BODIES = [
+    ("Apache-2.0", ("Apache-copyright", "Apache-redistribution", "Apache-warranty")),
+    ("GPL-3.0", ("GPL3-title", "GPL3-preamble", "GPL3-verbatim")),
+    ("GPL-2.0", ("GPL2-title", "GPL2-applies", "GPL2-verbatim")),
+    ("LGPL-3.0", ("LGPL3-title", "LGPL3-incorporates", "LGPL3-exception")),
+    ("LGPL-2.1", ("LGPL2.1-title", "LGPL2.1-applies", "LGPL2.1-lesser")),
+    ("MPL-2.0", ("MPL2-title", "MPL2-scope", "MPL2-marks")),
+    ("CC0-1.0", ("CC0-title",)),
+]
 RULES = [
     ("BSD-3-Clause", ("BSD-grant", "BSD-source", "BSD-binary", "BSD-endorse")),
     ("BSD-2-Clause", ("BSD-grant", "BSD-source", "BSD-binary")),
@@ -92,11 +125,13 @@ RULES = [
 ]
 
 # Each known sentence holds one of these.
-TRIGGERS = (b"licens", b"permi", b"redistribut", b"copyright", b"warrant", b"public domain")
+TRIGGERS = (b"licens", b"permi", b"redistribut", b"copyright", b"warrant", b"unencumbered")
 
 _WORDS = re.compile(r"[a-z0-9]+")
-_ENDS = re.compile(r"(?<=[.!?:;])\s+")
+_STARTS = re.compile(r"\n|[.!?:;)][\"'\u201d]*\s")
 _COPYRIGHT = re.compile(r"copyright (c )?(19|20)\d\d\b|copyright c ")
+_TAG = re.compile(r"spdx-license-identifier:[ \t]*([a-z0-9.+-]+(?:[ \t]+(?:or|and|with)[ \t]+[a-z0-9.+-]+)*)", re.IGNORECASE)
+_ANY, _END = "<name>", ""
 
 
 def normalise(sentence: str) -> str:
@@ -104,53 +139,78 @@ def normalise(sentence: str) -> str:
 
 
 @cache
-def _known() -> dict[str, str]:
-    return {normalise(s): name for name, s in SENTENCES}
-
-
-@cache
-def _starts() -> frozenset[str]:
-    """What a known sentence starts with: prefixes by words, so that joining lines stops early."""
-    return frozenset(" ".join(words[:n]) for s in _known() for words in [s.split()] for n in range(1, len(words)))
+def _known() -> dict:
+    """Known sentences as a tree of words; a leaf _END holds the identifier."""
+    tree: dict = {}
+    for name, sentence in SENTENCES:
+        at = tree
+        for k, part in enumerate(sentence.split(_ANY)):
+            for word in [_ANY] * (k > 0) + normalise(part).split():
+                at = at.setdefault(word, {})
+        at[_END] = name
+    return tree
+
+
+def _longest(words: list[str], i: int, first: list[bool], at: dict) -> tuple[int, str] | None:
+    """End and identifier of the longest known sentence from word i on that ends where a piece does."""
+    best = None
+    while True:
+        if _END in at and first[i]:
+            best = i, at[_END]
+        if _ANY in at:
+            for k in range(i + 1, min(i + NAME, len(words) - 1) + 1):
+                if words[k] in at[_ANY] and (found := _longest(words, k, first, at[_ANY])):
+                    return found
+        if i >= len(words) or words[i] not in at:
+            return best
+        i, at = i + 1, at[words[i]]
 
 
 def identifiers(text: str) -> list[tuple[int, int, str]]:
-    """(first piece, end, identifier) of known sentences and copyright lines."""
-    pieces = [n for line in text.split("\n") for piece in _ENDS.split(line) if (n := normalise(piece))]
-    known, starts, out, i = _known(), _starts(), [], 0
-    while i < len(pieces):
-        joined, n, best = pieces[i], 1, None
-        while True:
-            if joined in known:
-                best = known[joined], n
-            if joined not in starts or i + n >= len(pieces) or n >= JOINED:
-                break
-            joined += " " + pieces[i + n]
-            n += 1
+    """(first piece, end, identifier) of known sentences, tags and copyright lines."""
+    low = text.lower()
+    found = list(_WORDS.finditer(low))
+    words = [m.group() for m in found]
+    at = [m.start() for m in found]
+    first = [False] * len(words) + [True]
+    for m in _STARTS.finditer(low):
+        first[bisect_left(at, m.end())] = True
+    if words:
+        first[0] = True
+    piece = [n - 1 for n in accumulate(first)]  # number of each word's piece; the last is that of the text's end
+    tags = {bisect_left(at, m.start()): (bisect_left(at, m.end()), "SPDX:" + text[m.start(1) : m.end(1)]) for m in _TAG.finditer(text)} if len(low) == len(text) else {}
+    known, out, i = _known(), [], 0
+    while i < len(words):
+        best = tags.get(i) or (_longest(words, i, first, known) if first[i] and words[i] in known else None)
         if best:
-            out.append((i, i + best[1], best[0]))
-            i += best[1]
-        else:
-            if _COPYRIGHT.match(pieces[i]):
-                out.append((i, i + 1, "Copyright"))
-            i += 1
+            end = piece[best[0] - 1] + 1
+            out.append((piece[i], end, best[1]))
+            i = max(best[0], i + 1)
+            continue
+        if first[i] and words[i] == "copyright":
+            upto = next(k for k in range(i + 1, len(first)) if first[k])
+            if _COPYRIGHT.match(" ".join(words[i:upto])) or words[i : i + 2] == ["copyright", "c"]:
+                out.append((piece[i], piece[i] + 1, "Copyright"))
+        i += 1
     return out
 
 
 def licenses(found: list[tuple[int, int, str]]) -> list[str]:
     """Names of the licences whose rules match, in the order of the text."""
     own = [x for x in found if x[2] != "Copyright"]
-    out, used, i = [], 0, 0
+    out, i = [], 0
     while i < len(own):
-        for name, rule in RULES:
-            part = own[i : i + len(rule)]
-            near = all(b[0] - a[1] <= GAP for a, b in zip(part, part[1:], strict=False))
-            if near and tuple(x[2] for x in part) == rule:
-                out.append(name)
-                used = len(rule)
-                break
+        used = 1
+        if own[i][2].startswith("SPDX:"):
+            out.append(own[i][2].removeprefix("SPDX:"))
         else:
-            used = 1
+            for k, (name, rule) in enumerate([*BODIES, *RULES]):
+                part = own[i : i + len(rule)]
+                near = k < len(BODIES) or all(b[0] - a[1] <= GAP for a, b in zip(part, part[1:], strict=False))
+                if near and tuple(x[2] for x in part) == rule:
+                    out.append(name)
+                    used = len(rule)
+                    break
         i += used
     return out
 
