@@ -36,22 +36,32 @@ def roots(leaf_rows: DataFrame) -> DataFrame:
     return gathered.select("segment_id", F.size("_l").alias("n_leaves"), F.element_at(root, 1).alias("merkle_root"))
 
 
-def proofs(leaf_rows: DataFrame, levels: int = 40) -> DataFrame:
-    """(segment_id, leaf_idx, leaf, verified): each leaf's path of siblings folded again and compared with the root."""
+def proofs(leaf_rows: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(segment_id, leaf_idx, leaf, verified): each leaf's path of siblings folded again and compared with the root.
+
+    ``given`` (segment_id, leaf_idx, leaf) holds the leaves to prove, else those of the tree itself. Paths are
+    folded inside the segment's row, so the tree is not copied to the leaves.
+    """
     gathered = leaf_rows.groupBy("segment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("leaf_idx", "leaf"))), lambda x: x["leaf"]).alias("_l"))
+    if given is not None:
+        shown = given.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("leaf_idx", "leaf"))).alias("_given"))
+        gathered = gathered.join(shown, "segment_id")
+    else:
+        gathered = gathered.withColumn("_given", F.transform("_l", lambda x, i: F.struct(i.alias("leaf_idx"), x.alias("leaf"))))
     steps = F.when(F.size("_l") > 1, F.sequence(F.lit(1), F.ceil(F.log2(F.size("_l"))).cast("int"))).otherwise(F.array().cast("array<int>"))
     tree = F.aggregate(steps, F.array(F.col("_l")), lambda a, _: F.concat(a, F.array(_up(F.element_at(a, -1)))))
-    rows = gathered.withColumn("_tree", tree).select("segment_id", "_tree", F.posexplode("_l").alias("leaf_idx", "leaf"))
-    below = F.slice("_tree", F.lit(1), F.size("_tree") - 1)
-    start = F.struct(F.col("leaf").alias("h"), F.col("leaf_idx").alias("i"))
+    rows = gathered.withColumn("_tree", tree).withColumn("_below", F.slice("_tree", F.lit(1), F.size("_tree") - 1))
 
     def climb(a: Column, level: Column) -> Column:
         own = a["i"] % 2 == 0
         sibling = F.element_at(level, F.least(F.when(own, a["i"] + 2).otherwise(a["i"]), F.size(level)))
         return F.struct(F.sha2(F.when(own, F.concat(a["h"], sibling)).otherwise(F.concat(sibling, a["h"])), 256).alias("h"), F.floor(a["i"] / 2).cast("int").alias("i"))
 
-    top = F.aggregate(below, start, climb)
-    return rows.select("segment_id", "leaf_idx", "leaf", (top["h"] == F.element_at(F.element_at("_tree", -1), 1)).alias("verified"))
+    def proved(x: Column) -> Column:
+        top = F.aggregate("_below", F.struct(x["leaf"].alias("h"), x["leaf_idx"].alias("i")), climb)
+        return F.struct(x["leaf_idx"].alias("leaf_idx"), x["leaf"].alias("leaf"), (top["h"] == F.element_at(F.element_at("_tree", -1), 1)).alias("verified"))
+
+    return rows.select("segment_id", F.explode(F.transform("_given", proved)).alias("_x")).select("segment_id", "_x.*")
 
 
 def differences(before: DataFrame, now: DataFrame) -> DataFrame:

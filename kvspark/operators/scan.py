@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from kvspark.operators.versions import user_keys, visible
+from kvspark.staging import cut
 
 
 def prefix(oplog: DataFrame, start: str) -> DataFrame:
@@ -34,8 +35,8 @@ def numbered(rows: DataFrame, size: int) -> DataFrame:
     from pyspark.sql import Window
 
     run = rows.select("key").repartitionByRange("key").sortWithinPartitions("key").withColumn("_at", F.monotonically_increasing_id())
-    # The sort's partitions are kept for the count and the join alike, so bounds are drawn once.
-    run = run.persist()
+    # The sorted run is stored for the count and the join alike, so bounds are drawn once.
+    run = cut(run)
     part = F.shiftright("_at", 33)
     counts = run.groupBy(part.alias("_part")).count()
     offset = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kvspark.operators.folds import ordered_fold
+
 HEADER_BYTES = 30
 
 
@@ -42,6 +45,20 @@ def varint_bytes(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("int")
 
 
+def varint_encode(n: Column) -> Column:
+    """A non-negative long as unsigned LEB128, in hex: seven bits a byte, the lowest first, the high bit on where more follow."""
+    last = varint_bytes(n) - 1
+    byte = lambda i: F.call_function("shiftright", n, i * 7).bitwiseAND(F.lit(127)) + F.when(i < last, 128).otherwise(0)
+    return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), "")
+
+
+def varint_decode(coded: Column) -> Column:
+    """The number that varint_encode() made."""
+    places = F.sequence(F.lit(0), (F.length(coded) / 2 - 1).cast("int"))
+    value = lambda i: F.conv(F.substr(coded, i * 2 + 1, F.lit(2)), 16, 10).cast("long").bitwiseAND(F.lit(127))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda total, i: total + F.call_function("shiftleft", value(i), i * 7))
+
+
 def offsets(segments: DataFrame) -> DataFrame:
     """Adds each record's byte offset in its segment, in the order of keys."""
     run = Window.partitionBy("segment_id").orderBy("key", "seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,20 +94,26 @@ def read(spark: SparkSession, path: str, low: str | None = None, high: str | Non
     return rows.join(kept, "segment_id", "left_semi").where(F.col("key").between(low, low if high is None else high))
 
 
-def generations(oplog: DataFrame, shard: str, max_keys: int) -> DataFrame:
-    """Which in-memory table each operation enters when one closes at ``max_keys`` distinct keys; shards run side by side.
+def generations(oplog: DataFrame, shard: str, max_keys: int, tables: int = 1) -> DataFrame:
+    """(seq, key, generation, flushed): the memtable each operation enters and whether it is flushed in the end.
 
-    An ordered fold, so one task a shard; its state is one table's keys.
+    A memtable that reaches ``max_keys`` distinct keys is full and the next operation opens another; when
+    all ``tables`` memtables are full, the oldest is flushed. Shards run side by side.
     """
 
-    def fold(rows):
-        rows = rows.sort_values("seq")
-        out, keys, n = [], set(), 0
+    def step(state: dict, rows: dict) -> tuple[list[int]]:
+        out = []
         for key in rows["key"]:
-            out.append(n)
+            keys = state.setdefault("keys", set())
             keys.add(key)
+            out.append(state.get("n", 0))
             if len(keys) >= max_keys:
-                keys, n = set(), n + 1
-        return rows.assign(generation=out)[["seq", "key", "generation"]]
-
-    return oplog.select(F.col(shard).alias("_shard"), "seq", "key").groupBy("_shard").applyInPandas(fold, "seq long, key string, generation long")
+                state |= {"keys": set(), "n": state.get("n", 0) + 1}
+        return (out,)
+
+    rows = oplog.select(F.col(shard).alias("_shard"), "seq", "key")
+    kind = rows.schema["_shard"].dataType.simpleString()
+    found = ordered_fold(rows, "_shard", ["seq"], dict, step, ["generation"], [pa.int64()], f"_shard {kind}, seq long, key string, generation long")
+    sizes = found.groupBy("_shard", "generation").agg(F.countDistinct("key").alias("_keys"))
+    full = sizes.groupBy("_shard").agg(F.count_if(F.col("_keys") >= max_keys).alias("_full"))
+    return found.join(full, "_shard").select("seq", "key", "generation", (F.col("generation") < F.col("_full") - (tables - 1)).alias("flushed"))

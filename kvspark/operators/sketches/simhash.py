@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.functions.hashing import md5_32
-
 # Stop words, English then Serbian.
 STOP_WORDS = """
 I ME MY MYSELF WE OUR OURS OURSELVES YOU YOUR YOURS YOURSELF YOURSELVES HE HIM
@@ -34,23 +39,42 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (w != "") & ~w.isin(sorted(set(STOP_WORDS))))
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, hi, lo): both halves of a 64-bit fingerprint. A bit is on if more of the words' bits are on than off; ids are unique."""
-    counted = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("_w")).groupBy(id_col, "_w").agg(F.count(F.lit(1)).alias("_n"))
-    hashed = counted.select(id_col, "_n", md5_32(F.col("_w"), 0).alias("_h0"), md5_32(F.col("_w"), 1).alias("_h1"))
-    # Occurrences with the bit on, for two bits in one sum: 32 bits each hold any text's count.
-    pair = lambda h, b: F.sum((F.shiftright(h, b + 16).bitwiseAND(F.lit(1)) * (1 << 31) + F.shiftright(h, b).bitwiseAND(F.lit(1))) * F.col("_n")).alias(f"{h}{b}")
-    sums = hashed.groupBy(id_col).agg(F.sum("_n").alias("_all"), *[pair(h, b) for h in ("_h0", "_h1") for b in range(16)])
+#: Words whose bits are summed at once.
+AT_ONCE = 1 << 16
+_TOKEN = re.compile("[A-Za-z0-9]+")
+
 
-    def half(h: str) -> Column:
-        total = F.lit(0).cast("long")
-        for b in range(16):
-            for count, bit in ((F.shiftright(f"{h}{b}", 31), b + 16), (F.col(f"{h}{b}").bitwiseAND(F.lit((1 << 31) - 1)), b)):
-                total = total + F.when(count * 2 > F.col("_all"), F.lit(1 << bit)).otherwise(F.lit(0))
-        return total
+def _prints(batches: Iterable[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
+    """Each distinct word of a batch is hashed once; a text's word bits are summed where the text is."""
+    stop = frozenset(STOP_WORDS)
+    for batch in batches:
+        number: dict[str, int] = {}
+        codes, counts = [], []
+        for text in batch.column("_text").to_pylist():
+            own = [number.setdefault(w, len(number)) for w in _TOKEN.findall(text.upper() if text and text.isascii() else _upper(text or "")) if w not in stop]
+            codes.append(np.array(own, np.int32))
+            counts.append(len(own))
+        digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in number), np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(digests, axis=1)
+        halves = np.zeros((len(codes), 64), bool)
+        for i, (own, n) in enumerate(zip(codes, counts, strict=True)):
+            on = np.zeros(64, np.int64)
+            for at in range(0, n, AT_ONCE):
+                on += bits[own[at : at + AT_ONCE]].sum(axis=0, dtype=np.int64)
+            halves[i] = 2 * on > n
+        packed = np.packbits(halves, axis=1).view(">u4").astype(np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(packed[:, 0]), pa.array(packed[:, 1])], [id_col, "hi", "lo"])
 
-    found = sums.select(id_col, half("_h0").alias("hi"), half("_h1").alias("lo"))
-    return docs.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("hi", F.lit(0)).alias("hi"), F.coalesce("lo", F.lit(0)).alias("lo"))
+
+def _upper(text: str) -> str:
+    """a-z in upper case; other letters stay, as they are no part of a token."""
+    return text.encode("utf-8", "surrogatepass").upper().decode("utf-8", "surrogatepass")
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, hi, lo) for each row: both halves of a 64-bit fingerprint. A bit is on if more of the words' bits are on than off. No shuffle."""
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(lambda b: _prints(b, id_col), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, hi long, lo long")
 
 
 def hexed(hi: str = "hi", lo: str = "lo") -> Column:
@@ -64,17 +88,20 @@ def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
 def near(prints: DataFrame, most: int = 3) -> DataFrame:
     """(a, b, distance, n_a, n_b): pairs of different fingerprints at most ``most`` (up to 3) bits apart, and how many texts have each.
 
-    Texts with one fingerprint are one row, so copies make no pairs. Of four bands of 16 bits two such
-    fingerprints share one at least; a pair comes from its first shared band only.
+    Texts with one fingerprint are one row, so copies make no pairs. Of five blocks of 13 bits (the last of
+    12) two such fingerprints share two at least; each pair of blocks is a key of 25 or 26 bits, and a pair of
+    fingerprints comes from the first key it shares only.
     """
     if not 0 <= most <= 3:
         raise ValueError("bands find up to 3 differing bits")
     distinct = prints.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"))
-    band = lambda k: F.shiftright(F.col("hi" if k < 2 else "lo"), 16 * (1 - k % 2)).bitwiseAND(F.lit(0xFFFF))
-    banded = distinct.withColumn("bands", F.array(*[band(k) for k in range(4)])).select("*", F.posexplode("bands").alias("k", "v"))
+    both = F.call_function("shiftleft", F.col("hi"), F.lit(32)).bitwiseOR(F.col("lo"))
+    block = [F.shiftrightunsigned("_x", 13 * i).bitwiseAND(F.lit(0x1FFF)) for i in range(5)]
+    keys = [(block[i] * 8192 + block[j]) * 16 + k for k, (i, j) in enumerate(combinations(range(5), 2))]
+    banded = distinct.withColumn("_x", both).withColumn("keys", F.array(*keys)).select("hi", "lo", "n", "_x", "keys", F.explode("keys").alias("key"))
     a, b = banded.alias("a"), banded.alias("b")
     before = (F.col("a.hi") < F.col("b.hi")) | ((F.col("a.hi") == F.col("b.hi")) & (F.col("a.lo") < F.col("b.lo")))
-    first = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) == F.col("a.k") + 1
-    apart = hamming(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo"))
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & before & (apart <= most) & first)
+    apart = F.bit_count(F.col("a._x").bitwiseXOR(F.col("b._x")))
+    first = F.get(F.array_intersect("a.keys", "b.keys"), F.lit(0)) == F.col("a.key")
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & before & (apart <= most)).where(first)
     return pairs.select(hexed("a.hi", "a.lo").alias("a"), hexed("b.hi", "b.lo").alias("b"), apart.cast("int").alias("distance"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
