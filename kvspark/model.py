@@ -22,6 +22,8 @@ class Config:
     """Settings that have a meaning for queries; defaults are the reference values."""
 
     segment_ops: int = 512
+    memtables: int = 4
+    memtable_keys: int = 1000
     max_levels: int = 7
     tables_per_level: int = 3
     level_size_multiplier: int = 10
@@ -33,7 +35,7 @@ class Config:
     refill_seconds: int = 10
 
     def __post_init__(self) -> None:
-        for name in ("segment_ops", "max_levels", "tables_per_level", "level_size_multiplier", "index_sparsity", "summary_sparsity", "cache_capacity", "max_tokens", "refill_seconds"):
+        for name in ("segment_ops", "memtables", "memtable_keys", "max_levels", "tables_per_level", "level_size_multiplier", "index_sparsity", "summary_sparsity", "cache_capacity", "max_tokens", "refill_seconds"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be positive")
         if not 0 < self.bloom_rate < 1:

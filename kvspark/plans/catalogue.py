@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspark.model import RESERVED
+from kvspark.model import OPLOG as OPLOG_SCHEMA
+from kvspark.model import RESERVED, Config
 from kvspark.operators import compaction, integrity, scan, segments, traces, versions
 from kvspark.operators.sketches import bloom, cms, hll, simhash
 from kvspark.sources import oplog as logs
-from kvspark.sources.tables import events_oplog, events_oplog2, table
+from kvspark.sources.tables import events_oplog, events_oplog2, padded, table
+from kvspark.staging import shared_dir, staged_folder
+from kvspark.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,8 +24,9 @@ ORACLE_SQL: dict[str, str] = {}
 SEGMENT, THRESHOLD, LEVELS, EVERY = 512, 3, 4, 5
 LOW, HIGH, KEY, DELETED, PREFIX = "user000010", "user000060", "user000042", "user000007", "user00001"
 
-OPLOG = "o AS (SELECT 'user' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, event_type || '|' || props AS value, event_type = 'error' AS tombstone, ts, event_id AS seq FROM events)"
-OPLOG2 = "o AS (SELECT 'user' || lpad(CAST(user_id AS VARCHAR), 6, '0') || ':' || event_type AS key, props AS value, event_id % 5 = 0 AS tombstone, ts, event_id AS seq FROM events)"
+PAD = "lpad(CAST({0} AS VARCHAR), CAST(greatest(length(CAST({0} AS VARCHAR)), {1}) AS INTEGER), '0')"
+OPLOG = "o AS (SELECT 'user' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(length(CAST(user_id AS VARCHAR)), 6) AS INTEGER), '0') AS key, event_type || '|' || props AS value, event_type = 'error' AS tombstone, ts, event_id AS seq FROM events)"
+OPLOG2 = "o AS (SELECT 'user' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(length(CAST(user_id AS VARCHAR)), 6) AS INTEGER), '0') || ':' || event_type AS key, props AS value, event_id % 5 = 0 AS tombstone, ts, event_id AS seq FROM events)"
 LWW = "w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS r FROM o) WHERE r = 1)"
 STATE = f"WITH {OPLOG}, {LWW}"
 STATE2 = f"WITH {OPLOG2}, {LWW}"
@@ -78,18 +83,18 @@ def point_get(spark, d):
     return versions.get(events_oplog(spark, d), KEY).select("key", "value", "seq")
 
 
-@query("point_get_deleted", f"{STATE} SELECT key, value, seq FROM w WHERE NOT tombstone AND key = (SELECT min(key) FROM w WHERE tombstone)")
+@query("point_get_deleted", f"{STATE} SELECT min(key) AS key, false AS present FROM w WHERE tombstone HAVING min(key) IS NOT NULL")
 def point_get_deleted(spark, d):
     log = events_oplog(spark, d)
     first = versions.lww(log).where("tombstone").agg(F.min("key").alias("key"))
-    return versions.multi_get(log, first).select("key", "value", "seq")
+    return versions.exists(log, first.where("key is not null"))
 
 
-KEYS = "k AS (SELECT DISTINCT 'user' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS key FROM customer WHERE c_custkey % 3 = 0)"
+KEYS = "k AS (SELECT DISTINCT 'user' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 6) AS INTEGER), '0') AS key FROM customer)"
 
 
 def _keys(spark, d):
-    return table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("user"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key"))
+    return table(spark, d, "customer").select(F.concat(F.lit("user"), padded(F.col("c_custkey"), 6)).alias("key"))
 
 
 @query("multi_get", f"{STATE}, {KEYS} SELECT key, value, seq FROM w JOIN k USING (key) WHERE NOT tombstone")
@@ -173,7 +178,18 @@ def log_dump(spark, d):
     return events_oplog(spark, d).select("key", "value", "tombstone", "seq")
 
 
-@query("wal_crc")
+# The checksums' bytes in hex: flag, time, tombstone, both sizes, key and value.
+PAYLOAD = "'00' || format('{:016X}', seq) || CASE WHEN tombstone THEN '01' ELSE '00' END || format('{:016X}', strlen(key)) || format('{:016X}', strlen(value)) || hex(encode(key)) || hex(encode(value))"
+CRC_TABLE = "crc_table AS MATERIALIZED (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(0, 256)) AS n))"
+
+
+def _crc(hexed: str) -> str:
+    """CRC-32 of bytes in hex, by the table."""
+    values = f"list_transform(regexp_extract_all({hexed}, '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+@query("wal_crc", f"WITH {OPLOG}, {CRC_TABLE} SELECT seq, {_crc(PAYLOAD)} AS crc FROM o, crc_table")
 def wal_crc(spark, d):
     return logs.with_crc(events_oplog(spark, d).withColumn("ts", F.col("seq"))).select("seq", "crc")
 
@@ -276,17 +292,37 @@ def varint_sizes(spark, d):
     return events_oplog(spark, d).select("seq", segments.varint_bytes(F.col("seq")).alias("seq_bytes"))
 
 
-@query("segment_names", f"WITH {OPLOG} SELECT DISTINCT 'wal_' || lpad(CAST(seq // {SEGMENT} AS VARCHAR), 3, '0') || '.log' AS name, seq // {SEGMENT} + 1 AS next_id FROM o")
+@query("varint_coding", f"WITH {OPLOG}, n AS (SELECT seq, CAST(greatest(1, ceil(length(bin(seq)) / 7.0)) AS BIGINT) AS n FROM o) SELECT seq, array_to_string(list_transform(range(0, n), lambda i: format('{{:02X}}', (seq >> (7 * i)) % 128 + CASE WHEN i < n - 1 THEN 128 ELSE 0 END)), '') AS coded, seq AS decoded FROM n")
+def varint_coding(spark, d):
+    coded = events_oplog(spark, d).select("seq", segments.varint_encode(F.col("seq")).alias("coded"))
+    return coded.withColumn("decoded", segments.varint_decode(F.col("coded")))
+
+
+@query("next_segment_id", f"WITH {OPLOG} SELECT max(seq // {SEGMENT}) + 1 AS next_id FROM o")
+def next_segment_id(spark, d):
+    """From the digits in the names of the segments there are."""
+    return segment_names(spark, d).agg((F.max(F.regexp_extract("name", r"(\d+)", 1).cast("long")) + 1).alias("next_id"))
+
+
+@query("segment_names", f"WITH {OPLOG}, n AS (SELECT DISTINCT seq // {SEGMENT} AS id FROM o) SELECT 'wal_' || {PAD.format('id', 3)} || '.log' AS name, id + 1 AS next_id FROM n")
 def segment_names(spark, d):
     ids = segments.assign(events_oplog(spark, d), SEGMENT).select("segment_id").distinct()
-    name = F.concat(F.lit("wal_"), F.lpad(F.col("segment_id").cast("string"), 3, "0"), F.lit(".log"))
+    name = F.concat(F.lit("wal_"), padded(F.col("segment_id"), 3), F.lit(".log"))
     return ids.select(name.alias("name"), (F.regexp_extract(name, r"(\d+)", 1).cast("long") + 1).alias("next_id"))
 
 
-@query("flush_generations")
+MEMTABLES, MEMTABLE_KEYS = 3, 2
+
+
+@query("flush_generations", f"""WITH RECURSIVE {OPLOG}, {CRC_TABLE}, c AS (SELECT key, {_crc('hex(encode(key))')} % 64 AS shard FROM (SELECT DISTINCT key FROM o), crc_table),
+t AS (SELECT shard, seq, key, row_number() OVER (PARTITION BY shard ORDER BY seq) AS r FROM o JOIN c USING (key)),
+b AS (SELECT shard, seq, key, r, [key] AS keys, 0::BIGINT AS generation FROM t WHERE r = 1
+UNION ALL SELECT t.shard, t.seq, t.key, t.r, CASE WHEN len(keys) >= {MEMTABLE_KEYS} THEN [t.key] WHEN list_contains(keys, t.key) THEN keys ELSE list_append(keys, t.key) END, generation + CASE WHEN len(keys) >= {MEMTABLE_KEYS} THEN 1 ELSE 0 END FROM b JOIN t ON t.shard = b.shard AND t.r = b.r + 1),
+n AS (SELECT shard, count(*) FILTER (k >= {MEMTABLE_KEYS}) AS n FROM (SELECT shard, generation, count(DISTINCT key) AS k FROM b GROUP BY ALL) GROUP BY shard)
+SELECT seq, key, generation, generation < n - {MEMTABLES - 1} AS flushed FROM b JOIN n USING (shard)""")
 def flush_generations(spark, d):
     sharded = events_oplog(spark, d).withColumn("shard", F.crc32(F.col("key").cast("binary")) % 64)
-    return segments.generations(sharded, "shard", 2)
+    return segments.generations(sharded, "shard", MEMTABLE_KEYS, MEMTABLES)
 
 
 # --- compaction ---
@@ -324,21 +360,20 @@ def size_tiered_state(spark, d):
     return merged.groupBy("level", F.col("table_no").cast("long").alias("table_no")).agg(F.count(F.lit(1)).alias("n_records"), F.count_if("tombstone").alias("n_tombstones"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
 
 
-@query("compaction_preserves_visible", "SELECT 'x' AS key WHERE false")
+@query("compaction_preserves_visible", f"{STATE} SELECT key, value, seq FROM w WHERE NOT tombstone")
 def compaction_preserves_visible(spark, d):
-    before = versions.visible(events_oplog(spark, d)).select("key", "value", "seq")
-    after = versions.visible(_tiered(spark, d)).select("key", "value", "seq")
-    return before.exceptAll(after).unionByName(after.exceptAll(before)).select("key")
+    """What the compacted tables show is what the log shows."""
+    return versions.visible(_tiered(spark, d)).select("key", "value", "seq")
 
 
-NARROW = f"""WITH o AS (SELECT 'p' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS key, l_returnflag AS value, l_returnflag = 'R' AS tombstone, l_orderkey * 8 + l_linenumber AS ts, l_orderkey * 8 + l_linenumber AS seq FROM lineitem),
+NARROW = f"""WITH o AS (SELECT 'p' || lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(length(CAST(l_partkey AS VARCHAR)), 8) AS INTEGER), '0') AS key, l_returnflag AS value, l_returnflag = 'R' AS tombstone, l_orderkey * 8 + l_linenumber AS ts, l_orderkey * 8 + l_linenumber AS seq FROM lineitem),
 f AS (SELECT seq // 64 AS segment_id, * FROM o), {MANIFEST}, q AS (SELECT *, 1 + segment_id % 2 AS level FROM m),
 x AS (SELECT * FROM q WHERE level = 1 ORDER BY segment_id LIMIT 1)"""
 
 
 def _narrow(spark, d):
     seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
-    log = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")).alias("key"), F.col("l_returnflag").alias("value"), (F.col("l_returnflag") == "R").alias("tombstone"), seq.alias("ts"), seq.alias("seq"))
+    log = table(spark, d, "lineitem").select(F.concat(F.lit("p"), padded(F.col("l_partkey"), 8)).alias("key"), F.col("l_returnflag").alias("value"), (F.col("l_returnflag") == "R").alias("tombstone"), seq.alias("ts"), seq.alias("seq"))
     return segments.assign(log, 64)
 
 
@@ -368,6 +403,64 @@ def level_limits(spark, d):
     return levels.select("level", compaction.level_limit(F.col("level"), 10).alias("tables"))
 
 
+# --- the store: tables on levels and the live log ---
+
+LIVE = 100  # operations that are not flushed
+STORE = Config(segment_ops=2048, memtables=1000, memtable_keys=50, tables_per_level=2)
+
+
+def _store(spark, d) -> Store:
+    """A store with all operations in tables but the last ones, which are in its log."""
+    log = events_oplog(spark, d).withColumn("ts", F.col("seq"))
+    last = log.agg(F.max("seq")).first()[0]
+    store = Store(spark, f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}", STORE)
+    staged_folder(spark, store.path)
+    store.load(log.where(F.col("seq") <= last - LIVE))
+    logs.append(log.where(F.col("seq") > last - LIVE).select(*OPLOG_SCHEMA.names), store.log_path)
+    store._count()
+    return store
+
+
+BYSEQ = f"WITH {OPLOG}, w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM o) WHERE r = 1)"
+
+
+@query("flushed_and_live_scan", f"{BYSEQ} SELECT key, value FROM w WHERE NOT tombstone AND key BETWEEN '{LOW}' AND '{HIGH}'")
+def flushed_and_live_scan(spark, d):
+    return _store(spark, d).scan_range(LOW, HIGH)
+
+
+@query("unflushed_dump", f"WITH {OPLOG}, l AS (SELECT * FROM o WHERE seq > (SELECT max(seq) FROM o) - {LIVE}), w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM l) SELECT key, value, tombstone, seq FROM w WHERE r = 1")
+def unflushed_dump(spark, d):
+    return versions.lww(_store(spark, d).dump_memtables().select(*OPLOG_SCHEMA.names)).select("key", "value", "tombstone", "seq")
+
+
+@query("store_wal_rewrite", f"WITH {OPLOG} SELECT key, seq FROM o WHERE seq > (SELECT max(seq) FROM o) - {LIVE}")
+def store_wal_rewrite(spark, d):
+    """What the log still holds once the rest is flushed."""
+    return _store(spark, d).dump_log().select("key", "seq")
+
+
+@query("store_compacted_scan", f"{BYSEQ} SELECT key, value FROM w WHERE NOT tombstone")
+def store_compacted_scan(spark, d):
+    store = _store(spark, d)
+    store.flush()
+    store.compact_size_tiered()
+    return store.scan_prefix("")
+
+
+@query("store_levels", f"WITH {OPLOG}, n AS (SELECT count(DISTINCT seq // {STORE.segment_ops}) AS n FROM o WHERE seq <= (SELECT max(seq) FROM o) - {LIVE}) SELECT CASE WHEN n >= 2 THEN 2 ELSE 1 END AS level, CASE WHEN n >= 2 THEN 1 ELSE n END AS tables FROM n")
+def store_levels(spark, d):
+    """A level that has enough tables becomes one table of the next."""
+    store = _store(spark, d)
+    store.compact_size_tiered()
+    return store.tables().groupBy("level").agg(F.count(F.lit(1)).alias("tables"))
+
+
+@query("store_validate", f"WITH {OPLOG} SELECT DISTINCT seq // {STORE.segment_ops} - (SELECT min(seq) // {STORE.segment_ops} FROM o) AS table_id, true AS ok FROM o WHERE seq <= (SELECT max(seq) FROM o) - {LIVE}")
+def store_validate(spark, d):
+    return _store(spark, d).validate()
+
+
 # --- integrity ---
 
 LEAVES = f"{OPLOG}, {FLUSHED}, v AS (SELECT segment_id, CAST(row_number() OVER (PARTITION BY segment_id ORDER BY key, seq) - 1 AS INTEGER) AS leaf_idx, sha256(coalesce(value, '')) AS leaf FROM f)"
@@ -394,9 +487,12 @@ def merkle_diff(spark, d):
     return integrity.differences(before, now)
 
 
-@query("merkle_proof_check", f"WITH {LEAVES} SELECT segment_id, leaf_idx, true AS verified FROM v")
+@query("merkle_proof_check", f"WITH {LEAVES}, {CHANGED} SELECT segment_id, leaf_idx, u.leaf = v.leaf AS verified FROM u JOIN v USING (segment_id, leaf_idx)")
 def merkle_proof_check(spark, d):
-    return integrity.proofs(integrity.leaves(_flushed(spark, d))).select("segment_id", "leaf_idx", "verified")
+    """Leaves of records of which some were changed, against the tree of the records as they were."""
+    rows = _flushed(spark, d)
+    changed = rows.withColumn("value", F.when(F.col("seq") % 101 == 0, F.lit("changed")).otherwise(F.col("value")))
+    return integrity.proofs(integrity.leaves(rows), integrity.leaves(changed)).select("segment_id", "leaf_idx", "verified")
 
 
 @query("validate_level", f"WITH {OPLOG}, {FLUSHED} SELECT segment_id, count(*) FILTER (seq % 1009 = 0 AND value IS DISTINCT FROM 'changed') = 0 AS ok FROM f GROUP BY segment_id")
@@ -446,6 +542,23 @@ def bloom_fpr(spark, d):
     return absent.agg(F.count(F.lit(1)).alias("n_absent"), F.count_if("maybe").alias("n_false"), (F.count_if("maybe") / F.count(F.lit(1))).alias("rate"))
 
 
+SEGMENT_M, SEGMENT_K = bloom.parameters(SEGMENT, 0.01)
+SEGMENT_BITS = f"sb AS (SELECT DISTINCT segment_id, ({{h0}} + i * {{h1}}) % {SEGMENT_M} AS bit FROM f, (SELECT unnest(range(0, {SEGMENT_K})) AS i))".format(h0=_h("key"), h1=_h("key", 1))
+KEY_BITS = f"kb AS (SELECT DISTINCT ({{h0}} + i * {{h1}}) % {SEGMENT_M} AS bit FROM (SELECT '{KEY}' AS x), (SELECT unnest(range(0, {SEGMENT_K})) AS i))".format(h0=_h("x"), h1=_h("x", 1))
+
+
+@query("bloom_prune_segments", f"WITH {OPLOG}, {FLUSHED}, {MANIFEST}, {SEGMENT_BITS}, {KEY_BITS} SELECT segment_id, min_key <= '{KEY}' AND max_key >= '{KEY}' AS in_range, (SELECT count(*) FROM sb JOIN kb USING (bit) WHERE sb.segment_id = m.segment_id) = (SELECT count(*) FROM kb) AS maybe FROM m")
+def bloom_prune_segments(spark, d):
+    """Which segments a lookup opens: those whose range and whose Bloom filter admit the key."""
+    rows = _flushed(spark, d)
+    filters = rows.select("segment_id", F.explode(bloom.positions(F.col("key"), SEGMENT_M, SEGMENT_K)).alias("bit")).distinct()
+    wanted = spark.range(1).select(F.explode(F.array_distinct(bloom.positions(F.lit(KEY), SEGMENT_M, SEGMENT_K))).alias("bit"))
+    on = filters.join(F.broadcast(wanted), "bit").groupBy("segment_id").agg(F.count(F.lit(1)).alias("_on"))  # as many rows as hash functions
+    need = F.size(F.array_distinct(bloom.positions(F.lit(KEY), SEGMENT_M, SEGMENT_K)))
+    found = segments.manifest(rows).select("segment_id", segments.may_hold(KEY).alias("in_range"))
+    return found.join(on, "segment_id", "left").select("segment_id", "in_range", (F.coalesce("_on", F.lit(0)) == need).alias("maybe"))
+
+
 @query("bloom_merge", f"WITH {BITS.replace('WHERE p_partkey % 2 = 0', '')} SELECT bit FROM bits")
 def bloom_merge(spark, d):
     return bloom.merge(_bits(spark, d), bloom.build(table(spark, d, "part").where("p_partkey % 2 = 1"), "p_partkey", BLOOM_M, BLOOM_K))
@@ -456,6 +569,13 @@ def bloom_semi_join(spark, d):
     return bloom.semi_join(table(spark, d, "lineitem"), table(spark, d, "part").where("p_size < 5"), "l_partkey", "p_partkey").select("l_orderkey", "l_linenumber")
 
 
+@query("plain_semi_join", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 5)")
+def plain_semi_join(spark, d):
+    """The same without the filter, for comparison."""
+    keys = table(spark, d, "part").where("p_size < 5").select("p_partkey")
+    return table(spark, d, "lineitem").join(keys, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("l_orderkey", "l_linenumber")
+
+
 # --- Count-Min ---
 
 CMS_M, CMS_K = cms.parameters(0.01, 0.01)
@@ -479,9 +599,9 @@ def cms_table(spark, d):
     return _cms(spark, d)
 
 
-@query("cms_point", f"WITH {CMS} SELECT x AS p_partkey, coalesce(estimate, 0) AS estimate FROM ce WHERE CAST(x AS BIGINT) < 100")
+@query("cms_point", f"WITH {CMS} SELECT x AS p_partkey, coalesce(estimate, 0) AS estimate FROM ce")
 def cms_point(spark, d):
-    wanted = table(spark, d, "lineitem").where("l_partkey < 100").select(F.col("l_partkey").alias("p_partkey"))
+    wanted = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     return cms.query(wanted, "p_partkey", _cms(spark, d), CMS_M, CMS_K)
 
 

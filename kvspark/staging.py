@@ -46,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_folder(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted with the tables of cut()."""
+    _STAGED.append((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

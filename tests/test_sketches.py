@@ -40,10 +40,20 @@ def test_bloom_has_no_false_negatives(spark):
     assert {i for i in range(m) if packed[i // 8] >> (i % 8) & 1} == on
 
 
+def test_murmur3_of_many(spark):
+    values = [None, "", "é" * 3000, *("abcdefghijklmnopqrstuvwxyz"[: n % 27] + str(n % 5) for n in range(300))]
+    rows = spark.createDataFrame([(v,) for v in values], "x string").select("x", murmur3_32(F.col("x"), 3).alias("a"), murmur3_64_hex(F.col("x"), 3).alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(None, None) if v is None else (murmur3_x86_32(v.encode(), 3), f"{murmur3_x64_64(v.encode(), 3):016x}") for v in values]
+
+
 def test_bloom_semi_join(spark):
     left = spark.range(1000).withColumnRenamed("id", "a")
     right = spark.createDataFrame([(i,) for i in range(0, 2000, 37)], "b long")
     assert {r["a"] for r in bloom.semi_join(left, right, "a", "b").collect()} == set(range(0, 1000, 37))
+    assert {r["a"] for r in bloom.semi_join(left, right, "a", "b", most_bits=1).collect()} == set(range(0, 1000, 37))
+    m, k = bloom.parameters(55, 0.01)
+    passed = left.where(bloom.all_on(F.col("a"), bloom.words(right, "b", m, k), m, k)).count()
+    assert 28 <= passed < 28 + 60
 
 
 def test_cms_never_underestimates(spark):
