@@ -11,9 +11,12 @@ A word appears at most once for a block, so a frequent word makes no hot key, an
 is distinct words and packed positions instead of one row for each token. Decoding joins ids with
 the token-byte table, which is bounded by the vocabulary and therefore broadcast.
 
-Cases: null text counts as empty and gives no ids; repeated rows and null or repeated ids each keep
+Cases: null text counts as empty and gives no ids; a text of any length is in one block, where it is
+tokenised whole and put in order a slice at a time; repeated rows and null or repeated ids each keep
 their row; an empty table gives an empty table; other columns are not carried, so their names
-cannot clash. Words are told apart by a 64-bit hash of their code points and their length.
+cannot clash. Inside a block words are told apart by two independent 64-bit hashes of their code points,
+where the first alone is not enough by the second; between blocks by their bytes. The texts are read
+twice, so an input that comes out of a shuffle is written to the shared folder first.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvspark.llm import textvec
-from kvspark.llm.common import mix64, partitions
+from kvspark.llm.common import mix64, stable, tasks
 
 #: Tokens and distinct words after which a block is closed: its size in a worker's memory.
 BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 400_000
@@ -38,6 +41,8 @@ BLOCK_TOKENS, BLOCK_WORDS = 3_000_000, 400_000
 CHUNK_CHARS = 50_000
 #: Tokens that are put in order at once.
 SLICE_TOKENS = 200_000
+#: Input for each task of the shuffles, and distinct words that an encoder remembers at most: beyond, a word may be merged again.
+TASK_BYTES, KNOWN_WORDS = 32 << 20, 1_000_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,6 +89,7 @@ class _Block:
         self.ids: list = []
         self.counts: list[np.ndarray] = []
         self.hashes: list[np.ndarray] = []
+        self.seconds: list[np.ndarray] = []
         self.spans: list[tuple[np.ndarray, np.ndarray, str]] = []
         self.tokens = self.seen = 0
 
@@ -92,6 +98,7 @@ class _Block:
         self.ids += ids
         self.counts.append(np.bincount(of, minlength=len(texts)).astype(np.int64))
         self.hashes.append(textvec.span_hashes(cp, starts, ends))
+        self.seconds.append(textvec.span_hashes(cp, starts, ends, 1))
         self.spans.append((starts.astype(np.int32), ends.astype(np.int32), joined))  # within a chunk
         self.tokens += len(starts)
         self.seen += len(pd.unique(self.hashes[-1])) // 3  # words of a chunk that are new to the block, roughly
@@ -99,11 +106,10 @@ class _Block:
     def close(self) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Key, positions, pre-tokens of each text, hash of each word and the words."""
         hashes = np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
+        seconds = np.concatenate(self.seconds) if self.seconds else np.zeros(0, np.uint64)
         self.hashes.clear()
-        codes, words = pd.factorize(hashes)
-        codes = codes.astype(np.int32)
-        first = np.empty(len(words), np.int32)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1, dtype=np.int32)
+        self.seconds.clear()
+        codes, words, first = _distinct(hashes, seconds)
         sizes = [len(s) for s, _, _ in self.spans]
         texts: list[str] = []
         base = 0
@@ -123,6 +129,23 @@ class _Block:
         return key, codes, counts, words, texts
 
 
+def _distinct(hashes: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each word among the distinct ones, their first hashes and their first places; words with equal first hashes differ by the second."""
+    codes, words = pd.factorize(hashes)
+    first = np.empty(len(words), np.int32)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1, dtype=np.int32)
+    odd = np.flatnonzero(seconds != seconds[first[codes]])
+    if len(odd):  # other words with a hash that is taken: they get numbers of their own
+        more, others = pd.factorize(pd.MultiIndex.from_arrays([hashes[odd], seconds[odd]]))
+        codes[odd] = len(words) + more
+        words = np.concatenate((words, np.array([x for x, _ in others], np.uint64)))
+        codes, order = pd.factorize(codes)  # numbers by first place, as before
+        words = words[order]
+        first = np.empty(len(words), np.int32)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1, dtype=np.int32)
+    return codes.astype(np.int32), words, first
+
+
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
     block = _Block()
     for batch in batches:
@@ -164,10 +187,12 @@ def _text_rows(batches: Iterable[pa.RecordBatch], id_type: pa.DataType) -> Itera
 
 
 def _encode_words(batches: Iterable[pa.RecordBatch], raw: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
-    merge, known = _merger(raw, pattern), {}
+    merge, known, here = _merger(raw, pattern), {}, None
     for batch in batches:
         blobs = []
-        for blob in batch.column("words").to_pylist():
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            if bucket != here or len(known) > KNOWN_WORDS:  # a word is in one bucket only
+                known, here = {}, bucket
             numbers, lengths, text = _unpack(blob, np.uint32, np.uint32, np.uint8)
             text, at, out = text.tobytes(), 0, []
             for n in lengths.tolist():
@@ -236,18 +261,21 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     if "\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+" not in pattern:
         raise ValueError("unknown pre-token pattern")
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = stable(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     id_kind = source.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow_id = to_arrow_type(id_kind)
-    buckets = 8 * partitions(spark)
+    parts = tasks(source, TASK_BYTES)
+    buckets = 8 * parts
     shared = spark.sparkContext.broadcast((ranks, pattern))
     words = source.mapInArrow(lambda b: _word_rows(b, buckets), "block string, bucket long, words binary")
     texts = source.mapInArrow(lambda b: _text_rows(b, arrow_id), f"block string, ids array<{id_kind.simpleString()}>, positions binary")
-    encoded = words.repartition(partitions(spark), "bucket").mapInArrow(lambda b: _encode_words(b, *shared.value), "block string, encoded binary")
+    words = words.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    encoded = words.mapInArrow(lambda b: _encode_words(b, *shared.value), "block string, encoded binary")
     put = lambda a, b: _reassemble(a, b, arrow_id, _token_bytes(shared.value[0]) if decoded else None)
-    out = texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(put, f"id {id_kind.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
+    both = texts.repartition(parts, "block").groupBy("block").cogroup(encoded.repartition(parts, "block").groupBy("block"))
+    out = both.applyInArrow(put, f"id {id_kind.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -1,7 +1,7 @@
 """Vectorised tokenising: many texts at once as one array of code points.
 
-Words and pre-tokens come out as spans over that array, with a 64-bit hash of each span taken from
-prefix sums, so that no Python object is made for an occurrence, only for each distinct word.
+Words and pre-tokens come out as spans over that array, with a 64-bit hash of each span, so that no
+Python object is made for an occurrence, only for each distinct word.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 # ASCII white space, [\x20\x09-\x0D].
 ASCII_SPACE = [*range(0x09, 0x0E), 0x20]
 
-_BASE = 0x9E3779B97F4A7C15 | 5
-_STEP = 1 << 20
+#: Code points that are hashed at once.
+_STEP = 1 << 15
 
 
 @functools.cache
@@ -43,20 +43,6 @@ def _lower() -> np.ndarray:
     return out
 
 
-@functools.cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    up, down = np.empty(_STEP + 1, np.uint64), np.empty(_STEP + 1, np.uint64)
-    for out, base in ((up, _BASE), (down, inverse)):
-        out[0] = 1
-        n = 1
-        while n <= _STEP:
-            m = min(n, _STEP + 1 - n)
-            out[n : n + m] = out[:m] * np.uint64(pow(base, n, 1 << 64))
-            n += m
-    return up, down
-
-
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, str]:
     """The joined texts as code points, where each text's separator stands (one after each), and the joined string."""
     joined = "\n".join(texts) + "\n" if texts else ""
@@ -65,29 +51,55 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, str]:
     return cp, ends, joined
 
 
-def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's code points: polynomial prefix sums modulo 2**64, then mixed with the length."""
-    out = np.empty(len(starts), np.uint64)
-    up, down = _powers()
+def span_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's code points: the sum of a mixed number for each pair of place and code point.
+
+    The pairs are told apart exactly before they are mixed, so no structure of a text carries over into the
+    sum. Hashes of different families are independent; two of them make 128 bits.
+    """
+    lengths = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    upto = np.cumsum(lengths)
+    salt = np.uint64((family * 0xD1342543DE82EF95 + 0x9E3779B97F4A7C15) & (2**64 - 1))
+    room = np.empty(_STEP, np.uint64)
     lo = 0
     while lo < len(starts):
-        base = int(starts[lo])
-        hi = lo + int(np.searchsorted(ends[lo:], base + _STEP, "right"))
-        if hi == lo:  # one span longer than a step: fold it piece by piece
-            h = np.uint64(0)
-            for a in range(base, int(ends[lo]), _STEP):
-                piece = mix64(cp[a : min(a + _STEP, int(ends[lo]))].astype(np.uint64) + np.uint64(0x9E37))
-                h = mix64(np.array([h]))[0] + np.uint64(np.sum(piece * up[: len(piece)], dtype=np.uint64))
-            out[lo] = h
+        before = int(upto[lo - 1]) if lo else 0
+        hi = int(np.searchsorted(upto, before + _STEP, "right"))
+        if hi <= lo:  # one span longer than a step: its pieces add up
+            a, b = int(starts[lo]), int(ends[lo])
+            pieces = (_mixed(np.arange(at - a, min(at + _STEP, b) - a), cp[at : min(at + _STEP, b)], salt, room) for at in range(a, b, _STEP))
+            out[lo] = sum(int(np.sum(x, dtype=np.uint64)) for x in pieces) & (2**64 - 1)
             lo += 1
             continue
-        part = mix64(cp[base : int(ends[hi - 1])].astype(np.uint64) + np.uint64(0x9E37))
-        part *= up[: len(part)]
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)))
-        s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = (sums[e] - sums[s]) * down[s]
+        some = lo + np.flatnonzero(lengths[lo:hi])
+        if len(some):
+            first = upto[some] - lengths[some] - before
+            step = np.ones(int(upto[hi - 1]) - before, np.int64)  # running sums of steps, in place of a repetition for each span
+            step[first[1:]] = starts[some][1:] - ends[some][:-1] + 1
+            step[0] = starts[some[0]]
+            letters = cp[np.cumsum(step, out=step)]
+            step[:] = 1
+            step[first[1:]] = 1 - lengths[some][:-1]
+            step[0] = 0
+            out[some] = np.add.reduceat(_mixed(np.cumsum(step, out=step), letters, salt, room), first)
         lo = hi
-    return mix64(out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return mix64(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ salt)
+
+
+def _mixed(place: np.ndarray, cp: np.ndarray, salt: np.uint64, room: np.ndarray) -> np.ndarray:
+    """One number for each place and code point (of 21 bits); the place may have 43. Overwrites ``place`` and ``room``."""
+    x, t = place.view(np.uint64), room[: len(place)]
+    x <<= np.uint64(21)
+    x |= cp
+    x *= np.uint64(0x9FB21C651E98DF25)
+    x ^= salt
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0)):
+        np.right_shift(x, np.uint64(shift), out=t)
+        x ^= t
+        if factor:
+            x *= np.uint64(factor)
+    return x
 
 
 def _runs(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
