@@ -16,8 +16,9 @@ sum p exp(lambda s) = 1 over the scores of clean words, K comes from the segment
 Aggregate. Evidence is the sum, over segments with an E-value below 1, of -log(E); a logistic curve
 (Platt, with smoothed labels and the true shares of the labels) turns it into a score from 0 to 1.
 
-Cases: null and empty texts have no evidence and the lowest score; whole texts are scanned, however
-long; repeated rows each get their row; without labels of both kinds all scores are 0; rows whose
+Cases: null and empty texts have no evidence and the lowest score, which is below one half; whole texts are
+scanned, however long; null ids and repeated rows each get their row; units with one chance are listed by
+their hash; without labels of both kinds all scores are 0; rows whose
 label is null or whose text is missing teach nothing; other columns pass through untouched.
 """
 
@@ -138,7 +139,7 @@ def _families(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [np.zeros(batch.num_rows, np.uint64) for _ in range(2)]
         for at, part in _chunks(batch.column("_text").to_pylist()):
-            of, h, _ = shingle_sets(part, 5)
+            of, (h,), _ = shingle_sets(part, 5)
             own, first = np.unique(of, return_index=True)
             for k in range(2):
                 if len(h):
@@ -231,7 +232,7 @@ def _platt(x: np.ndarray, y: np.ndarray, shares: tuple[float, float]) -> tuple[f
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return max(float(beta[0]) / scale, 0.0), float(beta[1])
+    return max(float(beta[0]) / scale, 0.0), min(float(beta[1]), -1e-6)  # without evidence a text is never predicted to be toxic
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, train: Column | None = None) -> Model | None:
