@@ -4,16 +4,18 @@ Sources share the total size by weight; no source gives more than ``max_epochs``
 and what it cannot give goes to the others by weight. The mix is a row of slots. Slot i stands at the
 golden-ratio point frac(i * 0.618...) of the line of cumulative targets and so belongs to one source; a
 source that no point falls into takes part in the slot that has its place on the line. Each source's
-documents are shuffled by a hash and laid end to end, again from the start after the last; its slots
-share its target in equal parts, one after another by their rank, so a source gives its target rounded
-to a word, however small it is. Every prefix of the schedule is close to the targets.
+documents are shuffled by a hash and laid end to end, again from the start after the last. A source's
+target, rounded to a word, is cut into equal blocks, one for each of its slots, and the slot of rank r takes
+block r: the join of blocks with the documents they cover gives what each document yields. So a source
+reaches its target to a word, however small it is, and every prefix of the schedule is close to the targets.
 
 Running totals inside a source go over 4,096 hash buckets first, so a source with a third of all rows
 is never in one task; slot ranks go over chunks of slots likewise.
 
-Cases: null text has size 0, as have empty ones, and nothing of them is taken; a null source is a
-source of its own and comes last; repeated rows are taken separately; an empty table gives an empty
-table; only the id, text and source are read.
+Cases: null text has size 0, as have empty ones, and nothing of them is taken; texts of any length are
+taken whole; a null source is a source of its own and comes last; a null id is an id; documents with one
+hash are laid by id, then size; repeated rows are taken separately, one after the other; an empty table
+gives an empty table; only the id, text and source are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvspark.llm.common import cut
+from kvspark.llm.common import cut, join_back
 
 GOLDEN = 0.6180339887498949
 CELLS, CHUNK = 4096, 4096
@@ -69,19 +71,13 @@ def _drawn(spark_targets: DataFrame, slots: int) -> tuple[DataFrame, DataFrame,
 
 
 def schedule(spark_targets: DataFrame, slots: int) -> DataFrame:
-    """(slot, _key, first, end): the words that each slot of the mix takes from the repeated row of its source."""
+    """(slot, _key, rank, first, end): the block of words that each slot of the mix takes from the repeated row of its source."""
     line, ranked, numbers = _drawn(spark_targets, slots)
     own = line.select("_key", F.round("target").cast("long").alias("_target"), F.least(F.floor((F.col("_from") + F.least("_to", F.lit(1.0))) / 2 * slots), F.lit(slots - 1)).cast("long").alias("_place"))
     shared = own.join(numbers, "_key", "left").withColumn("_slots", F.coalesce("_slots", F.lit(0)))
     every = ranked.join(shared, "_key").unionByName(shared.where("_slots = 0").withColumns({"slot": F.col("_place"), "_rank": F.lit(0), "_slots": F.lit(1)}), allowMissingColumns=True)
-    upto = lambda rank: F.floor(F.col("_target") * (rank / F.col("_slots"))).cast("long")
-    return every.select("slot", "_key", upto(F.col("_rank")).alias("first"), upto(F.col("_rank") + 1).alias("end"))
-
-
-def block_schedule(spark_targets: DataFrame, slots: int, block: int, max_epochs: int = 3) -> DataFrame:
-    """(slot, _key, epoch, block): slots that all take a block of ``block`` words, or the short last one, as in the SQL of op3_mixing."""
-    ranked = _drawn(spark_targets, slots)[1].join(spark_targets.select("_key", F.expr(f"(source_size + {block - 1}) div {block}").alias("_blocks")), "_key")
-    return ranked.select("slot", "_key", F.expr("_rank div _blocks").alias("epoch"), F.expr("_rank % _blocks").alias("block")).where(F.col("epoch") < max_epochs)
+    upto = lambda rank: F.expr(f"cast(cast(_target as decimal(19, 0)) * cast({rank} as decimal(19, 0)) div _slots as bigint)")
+    return every.select("slot", "_key", F.col("_rank").alias("rank"), upto("_rank").alias("first"), upto("_rank + 1").alias("end"), "_slots", "_target")
 
 
 def block_size(total: int) -> int:
@@ -89,16 +85,15 @@ def block_size(total: int) -> int:
     return min(4096, max(1, total // 65536))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, blocks: bool = False) -> DataFrame:
-    """(id, source, size, source_size, target, taken) for each row; with ``blocks`` by slots of whole blocks, which sources below some blocks in size miss their targets by."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, places: bool = False) -> DataFrame:
+    """(id, source, size, source_size, target, taken) for each row; with ``places`` also first_slot, where the mix first takes words of the row."""
     key: Column = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
     rows = cut(docs.select(
         F.col(id_col).alias("_id"), key.alias("_key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
         F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("")).alias("_hash"),
     ))
     total = rows.agg(F.sum("_size")).first()[0] or 0
-    block = block_size(total)
-    aims = targets(rows.groupBy("_key").agg(F.sum("_size").alias("source_size")), weights, max_epochs)
+    aims = cut(targets(rows.groupBy("_key").agg(F.sum("_size").alias("source_size")), weights, max_epochs))
 
     bucket = F.substring("_hash", 1, 3).alias("_bucket")
     sums = rows.groupBy("_key", bucket).agg(F.sum("_size").alias("_n"))
@@ -107,16 +102,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     laid = rows.withColumn("_bucket", bucket).withColumn("_inside", inside).join(sums.select("_key", "_bucket", base.alias("_base")), ["_key", "_bucket"])
     laid = laid.select("_id", "_key", "_size", (F.col("_base") + F.col("_inside")).alias("_start"))
 
-    if blocks:
-        takes = block_schedule(aims, -(-total // block), block, max_epochs).groupBy("_key", "block").agg(F.count(F.lit(1)).alias("_takes"))
-        spans = laid.where("_size > 0").withColumn("block", F.explode(F.expr(f"sequence(_start div {block}, (_start + _size - 1) div {block})")))
-        overlap = F.least(F.col("_start") + F.col("_size"), (F.col("block") + 1) * block) - F.greatest(F.col("_start"), F.col("block") * block)
-        taken = spans.join(takes, ["_key", "block"], "left").groupBy("_key", "_start", "_id", "_size").agg(F.sum(overlap * F.coalesce("_takes", F.lit(0))).alias("taken"))
-        every = taken.select("_key", "_id", "_size", "taken").unionByName(laid.where("_size = 0").select("_key", "_id", "_size", F.lit(0).cast("long").alias("taken"))).join(aims, "_key")
-    else:
-        # The slots of a source take its row from the first word on: whole rounds, and the beginning of the last.
-        takes = schedule(aims, -(-total // block)).groupBy("_key").agg(F.sum(F.col("end") - F.col("first")).alias("_words"))
-        rest = F.least("_size", F.greatest(F.lit(0), F.expr("_words % nullif(source_size, 0)") - F.col("_start")))
-        every = laid.join(aims, "_key").join(takes, "_key", "left").withColumn("taken", F.when(F.col("_size") > 0, F.coalesce(F.col("_size") * F.expr("_words div nullif(source_size, 0)") + rest, F.lit(0))).otherwise(0).cast("long"))
+    blocks = cut(schedule(aims, -(-total // block_size(total))))
+    lengths = blocks.groupBy("_key").agg(F.max("_slots").alias("_slots"), F.max("_target").alias("_target"))
+    counts = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    per_source = cut(aims.join(lengths, "_key", "left").join(counts, "_key"))
+    laid = cut(join_back(cut(laid), per_source, "_key", rows.count()))
+    # A document stands once in each round of its source's repeated row; the blocks it reaches there follow from their equal lengths.
+    rounds = laid.where("_size > 0 and _target > 0").withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
+    rounds = rounds.withColumn("_lo", F.col("_round") * F.col("source_size") + F.col("_start")).withColumn("_hi", F.least(F.col("_lo") + F.col("_size"), "_target")).where("_lo < _hi")
+    rank = lambda place: f"cast((cast({place} + 1 as decimal(19, 0)) * cast(_slots as decimal(19, 0)) - 1) div _target as bigint)"
+    spans = rounds.select("_id", "_key", "_size", "_start", "_lo", "_hi", F.explode(F.expr(f"sequence({rank('_lo')}, {rank('_hi - 1')})")).alias("rank"))
+    overlap = F.least("_hi", "end") - F.greatest("_lo", "first")
+    taken = spans.join(blocks.select("_key", "rank", "first", "end", "slot"), ["_key", "rank"]).groupBy("_key", "_start", "_id", "_size")
+    taken = taken.agg(F.sum(overlap).alias("taken"), F.min("slot").alias("first_slot")).select("_key", "_start", "_size", "taken", "first_slot")
+    every = laid.join(taken, ["_key", "_start", "_size"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     source = F.when(F.col("_key") == "1", None).otherwise(F.expr("substring(_key, 2)"))
-    return every.select(F.col("_id").alias(id_col), source.alias(source_col), F.col("_size").alias("size"), "source_size", "target", "taken")
+    return every.select(F.col("_id").alias(id_col), source.alias(source_col), F.col("_size").alias("size"), "source_size", "target", "taken", *(["first_slot"] if places else []))
