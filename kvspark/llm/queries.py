@@ -30,7 +30,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), blocks=True).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,26 +97,52 @@ l AS (
   FROM r WINDOW b AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, (SELECT arg_min(level, place) FROM l WHERE ratio > level) AS final FROM l),
 t AS (SELECT k, source_size, CASE WHEN final IS NULL OR ratio <= final THEN cap::DOUBLE ELSE w * final END AS target FROM f),
-b AS (SELECT CAST(least(4096, greatest(1, sum(size) // 65536)) AS BIGINT) AS block, CAST(sum(size) AS BIGINT) AS total FROM d),
-c AS (
-  SELECT k, (source_size + block - 1) // block AS blocks, row_number() OVER (ORDER BY k DESC) AS back,
-         sum(target) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () AS hi
-  FROM t, b WHERE target > 0),
-e AS (SELECT k, blocks, lag(hi, 1, 0.0) OVER (ORDER BY k) AS lo, CASE WHEN back = 1 THEN 2.0 ELSE hi END AS hi FROM c),
-p AS (SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS u
-      FROM (SELECT unnest(range(0, (SELECT (total + block - 1) // block FROM b))) AS i)),
-q AS (SELECT k, blocks, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS n FROM p JOIN e ON u >= lo AND u < hi),
-takes AS (SELECT k, n % blocks AS blk, count(*) AS takes FROM q WHERE n // blocks < 3 GROUP BY ALL),
 laid AS (
-  SELECT doc_id, k, size, CAST(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start FROM d),
-x AS (SELECT doc_id, k, size, start, block, unnest(range(start // block, (start + size - 1) // block + 1)) AS blk FROM laid, b WHERE size > 0),
-y AS (
-  SELECT doc_id, k, size, sum((least(start + size, (blk + 1) * block) - greatest(start, blk * block)) * coalesce(takes, 0)) AS taken
-  FROM x LEFT JOIN takes USING (k, blk) GROUP BY doc_id, k, size, start
-  UNION ALL SELECT doc_id, k, size, 0 FROM laid WHERE size = 0)
-SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken FROM y JOIN t USING (k)
+  SELECT doc_id, k, size, CAST(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS start FROM d)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE size * (CAST(round(target) AS BIGINT) // source_size) + least(size, greatest(0, CAST(round(target) AS BIGINT) % source_size - start)) END AS taken
+FROM laid JOIN t USING (k)
 """
 
+# A table of CRC-32 and the checksum of a blob by it.
+CRC_TABLE = "crc_table AS MATERIALIZED (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(0, 256)) AS n))"
+
+
+def crc(blob: str) -> str:
+    values = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+def _hilbert_sql(bits: int = 5, shards: int = 16) -> str:
+    """Codes of equal depth, then the curve step by step, then shards of equal rows."""
+    code = lambda c, col: f"""{c}n AS (SELECT coalesce('0' || {col}, '1') AS v, count(*) AS n FROM documents GROUP BY 1),
+{c}c AS (SELECT v, CAST(least((2 * coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n) * {1 << bits} // (2 * sum(n) OVER ()), {(1 << bits) - 1}) AS INTEGER) AS code FROM {c}n)"""
+    steps, last = [], "p0"
+    for b in range(bits - 1, 0, -1):
+        for i in range(3):
+            q, low, t = 1 << b, (1 << b) - 1, f"(xor(x0, x{i}) & {(1 << b) - 1})"
+            x = {j: f"x{j}" for j in range(3)}
+            x[0] = f"CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {low}) ELSE xor(x0, {t}) END"
+            if i:
+                x[i] = f"CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, {t}) END"
+            name = f"p{len(steps) + 1}"
+            steps.append(f"{name} AS (SELECT doc_id, size, c, {', '.join(f'{x[j]} AS x{j}' for j in range(3))} FROM {last})")
+            last = name
+    flips = " ".join(f"xor(CASE WHEN g2 & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END," for b in range(bits - 1, 1, -1)) + " CASE WHEN g2 & 2 <> 0 THEN 1 ELSE 0 END" + ")" * (bits - 2)
+    curve = " + ".join(f"((xor(g{i}, f) >> {b}) & 1)::BIGINT * {1 << (3 * b + 2 - i)}" for b in range(bits) for i in range(3))
+    return f"""WITH {CRC_TABLE}, {code('s', 'source')}, {code('l', 'lang')},
+p0 AS (SELECT doc_id, size, c, CAST(least(length(bin(size)) - 1, {(1 << bits) - 1}) AS INTEGER) AS x0, sc.code AS x1, lc.code AS x2
+       FROM (SELECT doc_id, coalesce('0' || source, '1') AS s, coalesce('0' || lang, '1') AS l, coalesce(strlen(text), 0) + 1 AS size, {crc("encode(coalesce(text, ''))")} AS c FROM documents, crc_table)
+       JOIN sc ON sc.v = s JOIN lc ON lc.v = l),
+{', '.join(steps)},
+g AS (SELECT doc_id, size, c, x0 AS g0, xor(x0, x1) AS g1, xor(xor(x0, x1), x2) AS g2 FROM {last}),
+f AS (SELECT *, {flips} AS f FROM g),
+h AS (SELECT doc_id, size, c, {curve} AS curve FROM f),
+r AS (SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, size, c) - 1 AS r, count(*) OVER () AS n FROM h)
+SELECT doc_id, size, c AS text_crc32, 'rows' AS law, CAST(r * {shards} // n AS INTEGER) AS shard,
+       r - (r * {shards} // n * n + {shards - 1}) // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve FROM r"""
+
+
 OP6_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
@@ -155,4 +181,19 @@ c AS (SELECT x, min(root) AS component_id FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d JOIN c ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_nn_descent": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_mixing": OP3_SQL, "op6_line_dedup": OP6_SQL}
+# Every window of 200 bytes, in hex, by its digest; runs of the windows that start elsewhere too.
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+m AS (SELECT r, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+x AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM m),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM x),
+s AS (SELECT r, g, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY r, g),
+p AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS was FROM s),
+k AS (SELECT r, string_agg(substr(h, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) AS front, max(hi) AS last, CAST(sum(hi - lo) AS BIGINT) AS gone, count(*) AS spans FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1, 2 * n))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_nn_descent": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_mixing": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op10_hilbert_shards": _hilbert_sql()}

@@ -5,12 +5,18 @@ on a Hilbert curve is computed, rows are sorted by it and the sorted run is cut
 row counts (law ``rows``: counts differ by one at most). Rows that are near in all dimensions share a
 shard, so a filter on any of them prunes files by their minima and maxima.
 
-Text never shuffles: only ids, sizes, checksums and the curve index do. The order ends in the row's
-id, so a hot source or a group of equal texts is cut like any other run. Positions come from a range
-sort and one count for each of its partitions.
-
-Cases: null text has size 1 and the checksum of no bytes; null metadata sorts last in its dimension;
-repeated rows each get a slot; an empty table gives an empty table; only named columns are read, so
+Text never shuffles: only ids, sizes, checksums and the curve index do. Codes of the categories are
+broadcast where they are few (BROADCAST_BYTES at most; else they are joined, heavy values apart), so the
+index is computed before anything shuffles. Positions come from a range sort and one count for each of its
+partitions.
+
+The order is that of the curve, then id, size and checksum, so a hot source is cut like any other run. Under
+the law ``rows`` equal texts are rows like others: they have one size, and where they agree in the other
+dimensions they lie in one cell of the curve, in one shard or, at a cut, in neighbouring ones.
+
+Cases: null text has size 1 and the checksum of no bytes; texts of any length are read whole; null metadata
+sorts last in its dimension; rows that tie in all of the order are alike in what is returned; null ids come
+first; repeated rows each get a slot; an empty table gives an empty table; only named columns are read, so
 other columns and their names do not matter.
 """
 
@@ -21,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvspark.llm.common import cut, partitions
+from kvspark.llm.common import cut, join_back, partitions
 
 
 def hilbert_index(axes: list[Column], bits: int) -> Column:
@@ -54,43 +60,58 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return finish(F.aggregate(steps, F.array(*[a.cast("int") for a in axes]), undo))
 
 
-def equal_depth_codes(df: DataFrame, col: str, bits: int) -> DataFrame:
-    """(col, code) for each distinct value: its place among all rows in the order of values, in 2**bits steps, null last."""
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(F.col(col).asc_nulls_last())
-    mid = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) * 2 - F.col("_n")
-    total = F.sum("_n").over(Window.partitionBy())
-    return counts.select(col, mid.alias("_m"), total.alias("_t")).select(col, F.expr(f"cast(least(_m * {1 << bits} div (2 * _t), {(1 << bits) - 1}) as int)").alias("_code"))
+#: Distinct values whose codes one task computes, and bytes of them that are broadcast, at most; more are sorted by range and joined.
+FEW, BROADCAST_BYTES = 65_536, 16 << 20
+
+
+def _placed(rows: DataFrame, order: list[str], weight: str | None = None) -> DataFrame:
+    """Adds _before, the number (or the sum of ``weight``) of the rows that come before in the order, and _total: a range sort and one sum for each of its partitions."""
+    run = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    run = cut(run.withColumn("_place", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_place", 33))
+    sums = run.groupBy("_part").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("_part", before.alias("_offset"), F.sum("_sum").over(Window.partitionBy()).alias("_total"))  # one row a partition
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    if weight:
+        inside = F.coalesce(F.sum(weight).over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return run.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").withColumn("_before", F.col("_offset") + F.col("_inside"))
+
+
+def equal_depth_codes(counts: DataFrame, col: str, bits: int, few: int = FEW) -> DataFrame:
+    """A table (col, _n) of distinct values and their rows with ``_code``: a value's place among all rows in the order of values, in 2**bits steps."""
+    if counts.count() <= few:
+        order = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    else:
+        placed = _placed(counts, [col], "_n")
+    return placed.select(col, "_n", F.expr(f"cast(least((2 * _before + _n) * {1 << bits} div (2 * _total), {(1 << bits) - 1}) as int)").alias("_code"))
 
 
-def hilbert_shards(docs: DataFrame, n_shards: int = 16, bits: int = 5, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """(id, size, text_crc32, curve, law, shard, slot, grown_shard) for each row."""
+def hilbert_shards(docs: DataFrame, n_shards: int = 16, bits: int = 5, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("source", "lang"), few: int = FEW) -> DataFrame:
+    """(id, size, text_crc32, law, shard, slot, grown_shard, curve) for each row. Categories are compared as strings."""
     text = F.col(text_col).cast("string")
     names = [f"_c{k}" for k in range(len(categories))]
+    value = lambda c: F.coalesce(F.concat(F.lit("0"), F.col(c).cast("string")), F.lit("1"))
     rows = docs.select(
         F.col(id_col).alias("_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("_size"),
         F.crc32(F.coalesce(text.cast("binary"), F.lit(b""))).alias("_crc"),
-        *[F.col(c).alias(n) for c, n in zip(categories, names, strict=True)],
+        *[value(c).alias(n) for c, n in zip(categories, names, strict=True)],
     )
     axes = [F.least(F.length(F.bin("_size")) - 1, F.lit((1 << bits) - 1))]
     for k, name in enumerate(names):
-        codes = equal_depth_codes(docs.select(F.col(categories[k]).alias(name)), name, bits).select(F.col(name).alias("_v"), F.col("_code").alias(f"_a{k}"))
-        rows = rows.join(codes, F.col(name).eqNullSafe(F.col("_v")), "left").drop("_v", name)
-        axes.append(F.coalesce(F.col(f"_a{k}"), F.lit(0)))
-    placed = cut(rows.select("_id", "_size", "_crc", hilbert_index(axes, bits).alias("_curve")))
-    parts = partitions(docs.sparkSession)
-    run = placed.repartitionByRange(parts, "_curve", "_id", "_size", "_crc").sortWithinPartitions("_curve", "_id", "_size", "_crc")
-    run = cut(run.withColumn("_place", F.monotonically_increasing_id()))
-    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = run.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    ranked = run.withColumn("_part", part).join(offsets, "_part").withColumn("_rank", F.col("_before") + within)
-    ranked = ranked.withColumn("_shard", F.expr(f"_rank * {n_shards} div _total"))
+        counts = cut(docs.select(value(categories[k]).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("_n")))
+        size, total = counts.agg(F.sum(F.octet_length(name) + 16), F.sum("_n")).first()
+        codes = equal_depth_codes(counts, name, bits, few).withColumnRenamed("_code", f"_a{k}")
+        small = (size or 0) <= BROADCAST_BYTES and few == FEW
+        rows = rows.join(F.broadcast(codes), name).drop("_n", name) if small else join_back(cut(rows), cut(codes), name, total or 0).drop("_n", name)
+        axes.append(F.col(f"_a{k}"))
+    placed = rows.select("_id", "_size", "_crc", hilbert_index(axes, bits).alias("_curve"))
+    ranked = _placed(cut(placed), ["_curve", "_id", "_size", "_crc"]).withColumn("_shard", F.expr(f"_before * {n_shards} div _total"))
     return ranked.select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_curve").alias("curve"), F.lit("rows").alias("law"),
-        F.col("_shard").cast("int").alias("shard"), F.expr(f"_rank - (_shard * _total + {n_shards - 1}) div {n_shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col("_shard").cast("int").alias("shard"), F.expr(f"_before - (_shard * _total + {n_shards - 1}) div {n_shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("_curve").alias("curve"),
     )
 
 
