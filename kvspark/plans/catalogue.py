@@ -742,7 +742,43 @@ def token_bucket_summary(spark, d):
 # --- hashes and built-in sketches ---
 
 
-@query("murmur3_keys")
+# Both hashes in unsigned numbers of 128 bits.
+M32, M64 = 1 << 32, 1 << 64
+
+
+def _turned(x: str, r: int, bits: int) -> str:
+    return f"(({x}) * {1 << r} % {1 << bits} + ({x}) // {1 << (bits - r)})"
+
+
+def _word(first: str, size: int, upto: str) -> str:
+    """Bytes from a place on as one number, low byte first; ``upto`` of them at most."""
+    return f"list_reduce(list_prepend(CAST(0 AS UHUGEINT), list_transform(range(0, least({size}, {upto})), lambda j: CAST(b[{first} + j + 1] AS UHUGEINT) * CAST(pow(256, j) AS UHUGEINT))), lambda x, y: x + y)"
+
+
+def _k(x: str, first: int, second: int, r: int, bits: int) -> str:
+    return f"({_turned(f'({x}) * {first} % {1 << bits}', r, bits)} * {second} % {1 << bits})"
+
+
+K32 = lambda x: _k(x, 0xCC9E2D51, 0x1B873593, 15, 32)
+K1, K2 = (lambda x: _k(x, 0x87C37B91114253D5, 0x4CF5AD432745937F, 31, 64)), (lambda x: _k(x, 0x4CF5AD432745937F, 0x87C37B91114253D5, 33, 64))
+Z = "CAST(0 AS UHUGEINT)"
+H1 = lambda h, k: f"((({_turned(f'xor({h}[1], {K1(k + '[1]')})', 27, 64)} + {h}[2]) % {M64}) * 5 + {0x52DCE729}) % {M64}"
+H2 = lambda h, k: f"((({_turned(f'xor({h}[2], {K2(k + '[2]')})', 31, 64)} + {H1(h, k)}) % {M64}) * 5 + {0x38495AB5}) % {M64}"
+F64 = lambda x: f"xor({x}, ({x}) // {1 << 33})"
+MURMUR = f"""WITH c AS (SELECT c_name, list_transform(regexp_extract_all(hex(encode(c_name)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b, CAST(strlen(c_name) AS BIGINT) AS n FROM customer),
+w AS (SELECT *, list_transform(range(0, n // 4), lambda i: {_word('4 * i', 4, '4')}) AS w32, {_word('4 * (n // 4)', 4, 'n % 4')} AS t32,
+  list_transform(range(0, n // 16), lambda i: [{_word('16 * i', 8, '8')}, {_word('16 * i + 8', 8, '8')}]) AS w64,
+  {_word('16 * (n // 16)', 8, 'n % 16')} AS t1, {_word('16 * (n // 16) + 8', 8, 'greatest(n % 16 - 8, 0)')} AS t2 FROM c),
+r AS (SELECT *, list_reduce(list_prepend({Z}, w32), lambda h, k: ({_turned(f'xor(h, {K32("k")})', 13, 32)} * 5 + {0xE6546B64}) % {M32}) AS h, list_reduce(list_prepend([{Z}, {Z}], w64), lambda h, k: [{H1('h', 'k')}, {H2('h', 'k')}]) AS p FROM w),
+a AS (SELECT c_name, xor(xor(h, {K32('t32')}), CAST(n AS UHUGEINT)) AS h, xor(xor(p[1], {K1('t1')}), CAST(n AS UHUGEINT)) AS x, xor(xor(p[2], {K2('t2')}), CAST(n AS UHUGEINT)) AS y FROM r),
+s AS (SELECT c_name, xor(h, h // 65536) * {0x85EBCA6B} % {M32} AS h, (x + y) % {M64} AS x, (x + y + y) % {M64} AS y FROM a),
+u AS (SELECT c_name, xor(h, h // 8192) * {0xC2B2AE35} % {M32} AS h, {F64('x')} * {0xFF51AFD7ED558CCD} % {M64} AS x, {F64('y')} * {0xFF51AFD7ED558CCD} % {M64} AS y FROM s),
+v AS (SELECT c_name, xor(h, h // 65536) AS h, {F64('x')} * {0xC4CEB9FE1A85EC53} % {M64} AS x, {F64('y')} * {0xC4CEB9FE1A85EC53} % {M64} AS y FROM u),
+z AS (SELECT c_name, h, ({F64('x')} + {F64('y')}) % {M64} AS x FROM v)
+SELECT c_name, CAST(h AS BIGINT) AS h32, lower(format('{{:08X}}', CAST(x // {M32} AS BIGINT)) || format('{{:08X}}', CAST(x % {M32} AS BIGINT))) AS h64 FROM z"""
+
+
+@query("murmur3_keys", MURMUR)
 def murmur3_keys(spark, d):
     from kvspark.functions.hashing import murmur3_32, murmur3_64_hex
 
