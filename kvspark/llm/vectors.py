@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def valid(vec: Column) -> Column:
@@ -20,6 +21,12 @@ def dimension(rows: DataFrame, vec_col: str) -> int:
     return found["d"] if found else 0
 
 
+def element(rows: DataFrame, vec_col: str) -> str:
+    """float for a column of float arrays, else double: vectors travel as they are."""
+    given = rows.schema[vec_col].dataType
+    return "float" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "double"
+
+
 def matrix(column: pa.Array, d: int) -> np.ndarray:
     """A list column of vectors that all have dimension d, in double precision."""
     if isinstance(column, pa.ChunkedArray):
