@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.operators.versions import lww
+from kvspark.operators.versions import lww, newest
 
 
 def merge(runs: DataFrame, gc: bool = False) -> DataFrame:
@@ -36,8 +36,7 @@ def tiered_level(segment: Column, flushes: int, threshold: int, max_levels: int)
 
 def merge_tables(rows: DataFrame) -> DataFrame:
     """Newest versions inside each (level, table_no)."""
-    newest = F.max_by(F.struct("value", "tombstone", "ts", "seq"), F.struct("ts", "seq"))
-    return rows.groupBy("level", "table_no", "key").agg(newest.alias("v")).select("level", "table_no", "key", "v.*")
+    return newest(rows, "level", "table_no", "key")
 
 
 def overlapping(manifest: DataFrame, level: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvspark.operators.folds import ordered_fold
+from kvspark.operators.versions import newest
 
 HEADER_BYTES = 30
 
@@ -18,8 +19,7 @@ def assign(oplog: DataFrame, segment_ops: int) -> DataFrame:
 
 def newest_in_segment(oplog: DataFrame) -> DataFrame:
     """What a flush writes: one version a key and segment, tombstones included."""
-    newest = F.max_by(F.struct("value", "tombstone", "ts", "seq"), F.struct("ts", "seq"))
-    return oplog.groupBy("segment_id", "key").agg(newest.alias("v")).select("segment_id", "key", "v.*")
+    return newest(oplog, "segment_id", "key")
 
 
 def manifest(segments: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Last writer wins: the newest version of each key, and reads over it.
 
-All are one partial aggregation by key (a hot key is combined before the shuffle). Filters on the key
-pass through the aggregation into the Parquet scan; the tombstone filter comes after it, never before.
+All are one shuffle by key, before which each task keeps its own newest version of a key, so a hot key is
+combined first. Filters on the key pass into the Parquet scan; the tombstone filter comes after, never before.
 """
 
 from __future__ import annotations
@@ -12,10 +12,22 @@ from pyspark.sql import functions as F
 from kvspark.model import RESERVED
 
 
+def newest(oplog: DataFrame, *by: str) -> DataFrame:
+    """(by..., value, tombstone, ts, seq), with key among ``by``: the newest version of each group by (ts, seq).
+
+    Each task keeps the newest rows of its own before the shuffle (a window group limit). A stream has no
+    such windows and aggregates.
+    """
+    columns = ["value", "tombstone", "ts", "seq"]
+    if oplog.isStreaming:
+        return oplog.groupBy(*by).agg(F.max_by(F.struct(*columns), F.struct("ts", "seq")).alias("v")).select(*by, "v.*")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("seq")))
+    return oplog.select(*by, *columns, place.alias("_place")).where("_place = 1").drop("_place")
+
+
 def lww(oplog: DataFrame) -> DataFrame:
     """(key, value, tombstone, ts, seq): the newest version of every key by (ts, seq)."""
-    newest = F.max_by(F.struct("value", "tombstone", "ts", "seq"), F.struct("ts", "seq"))
-    return oplog.groupBy("key").agg(newest.alias("v")).select("key", "v.*")
+    return newest(oplog, "key")
 
 
 def visible(oplog: DataFrame) -> DataFrame:

@@ -124,9 +124,3 @@ def join_back(rows: DataFrame, per_key: DataFrame, key: str, total: int, n: str
     found = rows.join(F.broadcast(per_key.where(heavy)), key)
     rest = rows.join(F.broadcast(per_key.where(heavy).select(key)), key, "left_anti").join(per_key.where(~heavy).hint("merge"), key)
     return found.unionByName(rest)
-
-
-def without(rows: DataFrame, per_key: DataFrame, key: str, total: int, n: str = "_n") -> DataFrame:
-    """Rows of keys that ``per_key`` does not hold, heavy keys apart as in join_back()."""
-    heavy = F.col(n) * HEAVY > total
-    return rows.join(F.broadcast(per_key.where(heavy).select(key)), key, "left_anti").join(per_key.where(~heavy).select(key).hint("merge"), key, "left_anti")
