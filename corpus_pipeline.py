@@ -2,7 +2,13 @@
 
 All stages but the last return the columns of ``documents``. ``run`` writes each stage's rows as Parquet
 to the shared folder and reads them again as the next one's documents, so a lost executor costs the
-current stage at most.
+current stage at most. Once a stage is written, the tables behind it are deleted.
+
+Cases: null and empty texts pass all stages (a stage that changes no line leaves a null text null) until
+the mix, which takes no words of them, so they go there; texts of any length are taken whole; rows repeated
+with an id are judged alike: near-duplicate stages take them as one document, and the mix adds up what it
+takes of them and gives each as many copies; rows with a null id are one such group; an empty table gives an
+empty table; extra columns pass through, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvspark.llm import bpe, jaccard, line_dedup, mixing, toxicity
-from kvspark.llm.common import cut, table
+from kvspark.llm.common import cut, drop_cut, release, staged, table
 from kvspark.llm.queries import rank_file
 
 #: Near-duplicates: words in a shingle and least Jaccard similarity in percent.
@@ -22,7 +28,8 @@ SHINGLE, PERCENT = 5, 80
 
 def _retexted(docs: DataFrame, done: DataFrame, text: str) -> DataFrame:
     """The columns of ``docs`` from ``done._row``, with another text and its number of characters."""
-    changed = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    was = F.col("_row").getField("text").isNotNull()
+    changed = {"text": F.when(was, F.col(text)), "n_chars": F.when(was, F.length(text).cast("long")).otherwise(F.lit(0))}
     return done.select(*[changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
@@ -40,16 +47,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays, as do documents without words or id."""
     found = jaccard.jaccard_components(docs, SHINGLE, PERCENT)
-    gone = found.where("_id != component_id").select("_id").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone = found.where("_id != component_id").select(F.col("_id").alias("_gone")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"))
+    return rows.join(gone, F.col("_own") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay as often as the mix takes their words, rounded, and once at least; those it does not reach go."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size")).where("_taken > 0")
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    times = F.greatest(F.lit(1), F.round(F.col("_taken") / F.col("_size")).cast("int"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_mixed")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_words")).where("_taken > 0")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"))
+    joined = rows.join(taken, F.col("_own").eqNullSafe(F.col("_mixed")))
+    times = F.greatest(F.lit(1), F.round(F.col("_taken") / F.col("_words")).cast("int"))
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("_row.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,5 +83,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        before = staged()
+        after = cut(stage(spark, docs, sf_dir))
+        release(before, after)
+        drop_cut(docs)
+        docs = after
     return docs
