@@ -11,17 +11,21 @@
 4. Stars first: every list pairs its largest group with the others, and every group its first class with
    the others. Verified pairs give components. Then all pairs of one list that lie in different components
    pass the same filters, are expanded to their classes and verified. So no link between components is
-   lost, and no group of copies is ever expanded into all pairs.
-5. A verification cell holds one class and at most ``cell`` partners with their whole texts.
+   lost, and no group of copies is ever expanded into all pairs. Long lists are cut into blocks by size
+   and into parts; heavy tokens and classes are joined by broadcast, fewer than 1,024 of them.
+5. A verification cell holds one class and about ``cell`` partners with their whole texts.
 
 Cases: null and empty texts, and texts without words, have an empty set and link with nothing; fewer
-words than ``k`` make one shingle of the whole sequence; rows repeated with an id are one document; null
-ids link with nothing; an empty table gives an empty table; only id and text are read. Shingles are told
-apart by 64-bit hashes.
+words than ``k`` make one shingle of the whole sequence; texts of any length are taken whole; of documents
+that are equally rare or equally large the smaller id or hash comes first; rows repeated with an id are
+one document; null ids link with nothing; an empty table gives an empty table; only id and text are read,
+so other columns may have any names. Shingles are told apart by 64-bit hashes, classes by two independent
+ones, and pairs are verified by a third. A text that comes out of a shuffle is written first, as it is read more than once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,12 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvspark.llm import textvec
-from kvspark.llm.common import cut, drop_cut, mix64, partitions
+from kvspark.llm.ann import sorted_groups
+from kvspark.llm.common import cut, drop_cut, join_back, mix64, stable, tasks, tree_merge
 from kvspark.llm.components import components
-from kvspark.llm.nn_descent import _sorted_groups
 
 SKETCH_BITS, SEGMENT_BITS, CHUNK_CHARS, CELL = 21, 16, 50_000, 64
 FILTER_BITS, FILTER_SEGMENT = 24, 19
+#: Bytes that a task of a scan reads, about; bytes for each task of the shuffles; members of a list that one task pairs.
+SPLIT_BYTES, TASK_BYTES, LIST_CELL = 128 << 20, 32 << 20, 2048
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -54,35 +60,41 @@ def _cell_of(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _shingles(texts: list[str], k: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash and rarity of each shingle, in the order of the texts, and the words' hashes."""
+def _shingles(texts: list[str], k: int, sketch: np.ndarray | None = None, families: tuple[int, ...] = (0,)) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Text number, hashes (one of each family) and rarity of each shingle, in the order of the texts, and the words' first hashes."""
     cp, starts, ends, of = textvec.ascii_words(texts)
-    words = textvec.span_hashes(cp, starts, ends)
+    per_family = [textvec.span_hashes(cp, starts, ends, f) for f in families]
+    words = per_family[0]
+    n = len(words)
+    if not n:
+        return of, [np.zeros(0, np.uint64) for _ in families], np.zeros(0, np.uint32), words
     counts = np.bincount(of, minlength=len(texts))
-    rare = sketch[0][_cell_of(words)] if sketch is not None else np.zeros(len(words), np.uint32)
+    rare = sketch[0][_cell_of(words)] if sketch is not None else np.zeros(n, np.uint32)
     first = np.cumsum(counts) - counts
-    left = np.repeat(first + counts, counts) - np.arange(len(words))  # words from here to the text's end
-    h, r = np.full(len(words), 0x51ED270B0F3C2A11, np.uint64), rare.copy()
-    use = (left >= k) | (np.arange(len(words)) == first[of]) if len(words) else np.zeros(0, bool)
-    use &= (left >= k) | (counts[of] < k) if len(words) else use
+    left = np.repeat(first + counts, counts) - np.arange(n)  # words from here to the text's end
+    hashes, r = [np.full(n, 0x51ED270B0F3C2A11, np.uint64) for _ in families], rare.copy()
+    use = (left >= k) | ((np.arange(n) == first[of]) & (counts[of] < k))
     for j in range(k):
         inside = left > j
-        at = np.minimum(np.arange(len(words)) + j, max(len(words) - 1, 0))
-        step = mix64((h * np.uint64(0x9E3779B97F4A7C15)) ^ (words[at] + np.uint64(j + 1)))
-        h = np.where(inside, step, h)
+        at = np.minimum(np.arange(n) + j, n - 1)
+        for f, own in enumerate(per_family):
+            step = mix64((hashes[f] * np.uint64(0x9E3779B97F4A7C15)) ^ (own[at] + np.uint64(j + 1)))
+            hashes[f] = np.where(inside, step, hashes[f])
         r = np.where(inside, np.minimum(r, rare[at]), r)
-    of, h, r = of[use], h[use], r[use]
-    return of, h, r if sketch is None else np.minimum(r, sketch[1][_cell_of(h)]), words
+    of, hashes, r = of[use], [h[use] for h in hashes], r[use]
+    return of, hashes, r if sketch is None else np.minimum(r, sketch[1][_cell_of(hashes[0])]), words
 
 
-def shingle_sets(texts: list[str], k: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash and rarity of each text's distinct shingles, sorted by text and hash."""
-    of, h, r, _ = _shingles(texts, k, sketch)
-    order = np.lexsort((h, of))
-    of, h, r = of[order], h[order], r[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    return of[new], h[new], r[new]
+def shingle_sets(texts: list[str], k: int, sketch: np.ndarray | None = None, families: tuple[int, ...] = (0,)) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Text number, hashes and rarity of each text's distinct shingles, sorted by text and first hash."""
+    of, hashes, r, _ = _shingles(texts, k, sketch, families)
+    order = np.lexsort((*reversed(hashes), of))
+    of, hashes, r = of[order], [h[order] for h in hashes], r[order]
+    new = np.ones(len(of), bool)
+    new[1:] = of[1:] != of[:-1]
+    for h in hashes:
+        new[1:] |= h[1:] != h[:-1]
+    return of[new], [h[new] for h in hashes], r[new]
 
 
 def counts_of(docs: DataFrame, k: int) -> np.ndarray:
@@ -93,7 +105,7 @@ def counts_of(docs: DataFrame, k: int) -> np.ndarray:
         total = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
         for batch in batches:
             for _, part in chunks(batch.column(0).to_pylist()):
-                _, h, _, words = _shingles(part, k)
+                _, (h,), _, words = _shingles(part, k)
                 for row, hashes in enumerate((words, h)):
                     cells, n = np.unique(_cell_of(hashes), return_counts=True)
                     total[row, cells] += n.astype(np.uint32)
@@ -109,12 +121,12 @@ def counts_of(docs: DataFrame, k: int) -> np.ndarray:
                 own = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32).astype(np.int64)
                 found[s] = found[s] + own if s in found else own
         for s, own in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zstandard.ZstdCompressor().compress(np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes())], pa.binary())], ["segment", "counts"])
 
     kinds = "segment int, counts binary"
     out = np.zeros((2 * segments, 1 << SEGMENT_BITS), np.uint32)
-    for row in docs.mapInArrow(count, kinds).repartition(2 * segments, "segment").mapInArrow(merge, kinds).toLocalIterator():  # of fixed size
-        out[row["segment"]] = np.frombuffer(bytes(row["counts"]), np.uint32)
+    for row in tree_merge(docs.mapInArrow(count, kinds), merge, 2 * segments, tasks(docs, SPLIT_BYTES)).collect():  # of fixed size
+        out[row["segment"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["counts"])), np.uint32)
     return out.reshape(2, -1)
 
 
@@ -131,11 +143,12 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("_id")
             for at, part in chunks(batch.column("_text").to_pylist()):
-                of, h, rare = shingle_sets(part, k, shared.value)
+                of, both, rare = shingle_sets(part, k, shared.value, (0, 1))
+                h = both[0]
                 n = np.bincount(of, minlength=len(part)).astype(np.int64)
                 digests = []
-                for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(salt)), dtype=np.uint64)))
+                for own in both:
+                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(own ^ np.uint64(0x243F6A8885A308D3)), dtype=np.uint64)))
                     ends = np.cumsum(n)
                     digests.append((sums[ends] - sums[ends - n]).view(np.int64))
                 order = np.lexsort((h, rare, of))
@@ -175,12 +188,12 @@ def _wanted(docs: DataFrame, members: DataFrame) -> DataFrame:
                 own = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
                 found[s] = found[s] | own if s in found else own
         for s, own in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["segment", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zstandard.ZstdCompressor().compress(own.tobytes())], pa.binary())], ["segment", "bits"])
 
     kinds = "segment int, bits binary"
     on = np.zeros((1 << (FILTER_BITS - FILTER_SEGMENT), 1 << (FILTER_SEGMENT - 3)), np.uint8)
-    for row in members.select("_id").mapInArrow(mark, kinds).repartition(len(on), "segment").mapInArrow(merge, kinds).toLocalIterator():  # of fixed size
-        on[row["segment"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    for row in tree_merge(members.select("_id").mapInArrow(mark, kinds), merge, len(on), tasks(members, SPLIT_BYTES)).collect():  # of fixed size
+        on[row["segment"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["bits"])), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(on.reshape(-1))
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,21 +208,21 @@ def _wanted(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, cell: int = CELL) -> DataFrame:
     """The pairs (a, b) whose texts' sets reach the threshold."""
-    spark = docs.sparkSession
-    counts = pairs.groupBy("a").agg(F.expr(f"(count(1) + {cell - 1}) div {cell}").alias("_n"))
-    placed = pairs.join(counts, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "_n")).alias("_cell"))
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_m"), F.expr(f"(count(1) + {cell - 1}) div {cell}").alias("_n"))
+    counts = cut(counts)
+    placed = join_back(pairs, counts, "a", pairs.count(), "_m").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "_n")).alias("_cell"))
     members = placed.select("_cell", F.lit(0).alias("_side"), F.col("a").alias("_id")).distinct().unionByName(placed.select("_cell", F.lit(1).alias("_side"), F.col("b").alias("_id")))
     members = cut(members)
-    cells = members.join(_wanted(docs, members), "_id").repartition(partitions(spark), "_cell").sortWithinPartitions("_cell", "_side", "_id")
+    cells = members.join(_wanted(docs, members), "_id").repartition(tasks(docs, TASK_BYTES), "_cell").sortWithinPartitions("_cell", "_side", "_id")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _sorted_groups(batches):
+        for group in sorted_groups(batches):
             side, ids = np.asarray(group.column("_side")), np.asarray(group.column("_id"))
             texts = [zstandard.ZstdDecompressor().decompress(x).decode() for x in group.column("_packed").to_pylist()]
             hubs: list[np.ndarray] = []
             out = []
             for at, part in chunks(texts):
-                of, h, _ = shingle_sets(part, k)
+                of, (h,), _ = shingle_sets(part, k, families=(2,))  # other hashes than those that made the pair
                 ends = np.searchsorted(of, np.arange(len(part) + 1))
                 for i in range(len(part)):
                     own = h[ends[i] : ends[i + 1]]
@@ -230,9 +243,32 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, cell: int =
     return cells.mapInArrow(compare, "a long, b long")
 
 
+def _crossed(rest: DataFrame, percent: int) -> DataFrame:
+    """(ga, gb): the pairs of groups of one list, in different components, that pass the filters.
+
+    A list is cut into blocks by size, so that partners are in one block or in neighbouring ones, and
+    blocks into parts of about LIST_CELL groups, each of which meets all parts of its blocks in a task of its own.
+    """
+    step = math.log(100 / percent * 1.001)
+    blocks = rest.withColumn("_block", F.floor(F.log(F.col("n").cast("double")) / step))
+    counts = cut(blocks.groupBy("token", "_block").agg(F.expr(f"cast((count(1) + {LIST_CELL - 1}) div {LIST_CELL} as int)").alias("_parts")))
+    # One row for each part of a block in counts: both sides of a list's block are dealt by it.
+    dealt = counts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    few = counts.where("_parts > 1").select("token", "_block", "_parts")
+    part = F.pmod(F.xxhash64("gid"), F.coalesce("_parts", F.lit(1))).cast("int")
+    left = blocks.join(few, ["token", "_block"], "left").withColumn("_part", part).drop("_parts").alias("x")
+    near = blocks.withColumn("_of", F.explode(F.array(F.col("_block"), F.col("_block") - 1)))
+    right = near.join(dealt.select("token", F.col("_block").alias("_of"), "_part"), ["token", "_of"]).alias("y")
+    apart = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi"))
+    once = (F.col("y._block") != F.col("x._block")) | (F.col("x.gid") < F.col("y.gid"))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x._block") == F.col("y._of")) & (F.col("x._part") == F.col("y._part"))
+    pairs = left.join(right, same & once & apart & _passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
+    return pairs.select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb")).distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, n_shingles, component_id) for each row; components of documents linked at ``percent`` of Jaccard similarity."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = stable(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")))
     signed = cut(signatures(rows, k, percent))
     key = ["n", "d1", "d2"]
     classes = signed.where("n > 0 and _id is not null").groupBy(*key).agg(F.min("_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
@@ -243,13 +279,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     crowded = groups.where("_classes > 1").select(*group, "gid")
     others = cut(classes.select(*group, "cid").join(crowded, group).select("gid", "cid").where("gid != cid"))  # classes that do not lead their group
     posted = groups.select("gid", "n", "weight", F.posexplode("prefix").alias("pos", "token"))
-    shared = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("token"))
-    live = cut(posted.join(shared, "token"))
     lead = F.max_by(F.struct("gid", "n", "pos"), F.struct(F.col("weight"), -F.col("gid")))
-    leads = cut(live.groupBy("token").agg(lead.alias("lead")))
-    lists = live.select("token", "gid", "n", "pos").join(leads, "token")
+    leads = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), lead.alias("lead")).where("_n > 1"))
+    total = groups.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    live = cut(join_back(posted, leads, "token", total))
 
-    stars = lists.where(F.col("gid") != F.col("lead.gid")).where(_passes(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent))
+    stars = live.where(F.col("gid") != F.col("lead.gid")).where(_passes(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent))
     stars = cut(stars.select(F.col("lead.gid").alias("a"), F.col("gid").alias("b")).unionByName(others.select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct())
     links = cut(verify(rows, stars, k, percent))
     joined = cut(components(links))
@@ -258,21 +293,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     of = lambda frame, name, out: frame.join(joined.select(F.col("node").alias(name), F.col("component").alias("_c")), name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
     member = cut(of(others.unionByName(live.select("gid").distinct().select("gid", F.col("gid").alias("cid"))).distinct(), "cid", "comp"))
     state = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    labelled = live.select("token", "gid", "n", "pos").join(state, "gid")
-    open_lists = labelled.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo < _hi").select("token")
-    rest = cut(labelled.join(open_lists, "token"))
-    left, right = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.lo") != F.col("y.lo")) | (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi"))
-    crossed = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & _passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
-    crossed = crossed.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    labelled = cut(live.select("token", "gid", "n", "pos").join(state, "gid"))
+    open_lists = cut(labelled.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi").select("token", "_n"))
     mixed = state.where("lo < hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    members = member.select("gid", "cid", "comp")
-    expanded = crossed.unionByName(mixed).join(members.toDF("ga", "a", "_ca"), "ga").join(members.toDF("gb", "b", "_cb"), "gb").where("_ca != _cb and (ga != gb or a < b)")
-    open_pairs = expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(verify(rows, cut(open_pairs.join(tried, ["a", "b"], "left_anti")), k, percent))
-    final = cut(components(links.unionByName(more)))
-    for done in (groups, others, shared, live, leads, stars, links, joined, member, rest, more):
+    final, second = joined, []
+    if not (open_lists.isEmpty() and mixed.isEmpty()):
+        rest = cut(join_back(labelled, open_lists, "token", labelled.count()).drop("_n"))
+        members = member.select("gid", "cid", "comp")
+        expanded = _crossed(rest, percent).unionByName(mixed).join(members.toDF("ga", "a", "_ca"), "ga").join(members.toDF("gb", "b", "_cb"), "gb").where("_ca != _cb and (ga != gb or a < b)")
+        open_pairs = expanded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = cut(open_pairs.join(tried, ["a", "b"], "left_anti"))
+        more = cut(verify(rows, fresh, k, percent))
+        final = cut(components(links.unionByName(more)))
+        second = [rest, fresh, more, joined]
+    for done in (groups, others, live, leads, stars, links, member, labelled, open_lists, *second):
         drop_cut(done)
 
     ids = classes.select(*key, "cid").join(final, F.col("cid") == F.col("node"), "left").select(*key, F.coalesce("component", "cid").alias("_component"))

@@ -13,7 +13,9 @@
 
 Cases: vectors that are null, zero, or hold null or non-finite components, those of another dimension
 than most and those with a null label link with nothing and are their own component; rows repeated with
-an id count as one vector; a null id has no links and is kept; an empty table gives an empty table.
+an id count as one vector; a null id has no links and is kept; neighbours that are equally near are taken
+by the smaller id; an empty table gives an empty table; only id, vector and label are read, so other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvspark.llm.ann import _merged
+from kvspark.llm.ann import _merged, sorted_groups
 from kvspark.llm.common import cut, drop_cut, partitions
 from kvspark.llm.components import components
-from kvspark.llm.vectors import dimension, inner, matrix, valid
+from kvspark.llm.vectors import dimension, element, inner, matrix, valid
 
 TABLES, LIST, ENLARGED, BLOCK = 8, 8, 64, 256
 #: Rounds end when at most this share of the lists' usual entries is new.
@@ -71,7 +73,7 @@ def _first_lists(nodes: DataFrame, d: int, threshold: float, n: int, seed: int,
                 key = (signs[:, t, :bits] * weights).sum(axis=1).astype(np.int64) if bits else np.zeros(batch.num_rows, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key), batch.column("_label"), batch.column("_id"), batch.column("_v")], ["_table", "_key", "_label", "_id", "_v"])
 
-    placed = nodes.select("_label", "_id", "_v").mapInArrow(place, "_table int, _key long, _label string, _id long, _v array<float>")
+    placed = nodes.select("_label", "_id", "_v").mapInArrow(place, f"_table int, _key long, _label string, _id long, _v array<{element(nodes, '_v')}>")
     sizes = placed.groupBy("_label", "_table", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     salted = placed.join(sizes, ["_label", "_table", "_key"]).withColumn("_salt", F.pmod(F.xxhash64("_id", "_table"), F.expr(f"(_n + {block - 1}) div {block}")))
     cells = salted.select(F.xxhash64("_label", "_table", "_key", "_salt").alias("_cell"), "_id", "_v")
@@ -93,35 +95,10 @@ def _first_lists(nodes: DataFrame, d: int, threshold: float, n: int, seed: int,
 
 def _groups(batches: Iterable[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors of each cell, from batches that are sorted by cell."""
-    for group in _sorted_groups(batches):
+    for group in sorted_groups(batches):
         yield np.asarray(group.column("_id")), matrix(group.column("_v"), d)
 
 
-def _sorted_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held: list[pa.RecordBatch] = []
-
-    def close(parts: list[pa.RecordBatch]) -> Iterator[pa.Table]:
-        rows = pa.Table.from_batches(parts).combine_chunks()
-        cells = np.asarray(rows.column("_cell"))
-        cuts = np.flatnonzero(np.diff(cells)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cells)], strict=True):
-            if b > a:
-                yield rows.slice(a, b - a)
-
-    for batch in batches:
-        cells = np.asarray(batch.column("_cell"))
-        if not len(cells):
-            continue
-        others = np.flatnonzero(cells != cells[-1])
-        cut_at = int(others[-1]) + 1 if len(others) else 0
-        if cut_at or (held and held[-1].column("_cell")[-1].as_py() != int(cells[0])):
-            yield from close([*held, batch.slice(0, cut_at)])
-            held = []
-        held.append(batch.slice(cut_at))
-    if held:
-        yield from close(held)
-
-
 def _best(edges: DataFrame, threshold: float) -> DataFrame:
     """The lists: each node's LIST best neighbours, or up to ENLARGED while all of them reach the threshold; ``turn`` is the round an entry came in."""
     once = edges.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("turn").alias("turn"))
@@ -143,7 +120,7 @@ def _round(nodes: DataFrame, lists: DataFrame, d: int, threshold: float) -> Data
     cells = members.join(known, "_id")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _sorted_groups(batches):
+        for group in sorted_groups(batches):
             ids, bound, x = np.asarray(group.column("_id")), np.asarray(group.column("_bound")), unit(matrix(group.column("_v"), d))
             s = cosines(x, x, threshold)
             np.fill_diagonal(s, -2)
@@ -175,7 +152,7 @@ def _links(nodes: DataFrame, joined: DataFrame, d: int, threshold: float, block:
     cells = members.select(cell, "_block", (F.col("_block") == F.col("_other")).alias("_inside"), "_id", "_component", F.col("_copies").cast("double").alias("_copies"), "_v")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _sorted_groups(batches):
+        for group in sorted_groups(batches):
             side, ids, copies = (np.asarray(group.column(c)) for c in ("_block", "_id", "_copies"))
             inside = group.column("_inside")[0].as_py()
             m = 0 if inside else int(np.searchsorted(side, side[-1]))
@@ -228,7 +205,7 @@ def _merge(root: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, list[tuple[
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) for each row."""
-    every = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(vec_col).cast("array<float>").alias("_v"))
+    every = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("string").alias("_label"), F.col(vec_col).cast(f"array<{element(vectors, vec_col)}>").alias("_v"))
     good = every.where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & valid(F.col("_v")))
     d = dimension(good, "_v")
     single = good.where(F.size("_v") == d).groupBy("_id").agg(F.max(F.struct("_label", "_v")).alias("_x")).select("_id", "_x.*")
