@@ -45,3 +45,24 @@ def test_stages(spark, tmp_path):
     plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
     got = Counter((r["doc_id"], r["n_tokens"], tuple(r["ids"]), r["decoded_sha256"]) for r in tokens.collect())
     assert got == Counter((i, len(e := plain.encode_ordinary(t)), tuple(e), sha(t)) for i, t, *_ in as_rows(mixed))
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, a very long text, clashing columns and an empty table through all stages."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, "a row without id"), (None, "another row without id"), (1, None), (2, ""), (3, "the same text of five words twice"), (3, "the same text of five words twice"), (4, "the same text of five words twice"), (5, "long " * 50_000)]
+    clash = {c: F.lit("x") for c in ("_id", "_row", "_gone", "_own", "_taken", "_copy", "size", "taken", "component_id", "kept")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")} | clash)
+    for folder, frame in (("full", docs), ("none", docs.limit(0))):
+        path = str(tmp_path / folder)
+        frame.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(3, 0), (5, 1)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        now = cut(stage(spark, now, f"{tmp_path}/full"))
+        assert now.columns == docs.columns or name == "bpe"
+        if name == "jaccard_join":
+            assert Counter(r["doc_id"] for r in now.collect()) == Counter([None, None, 1, 2, 3, 3, 4, 5])  # the fourth has lost its only line
+    assert {r["doc_id"] for r in now.collect()} == {None, 3, 5}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []

@@ -73,6 +73,46 @@ def test_pretokens(texts):
     assert got == [plain_pattern().findall(t) for t in texts]
 
 
+def mirrored(n=10):
+    """Two words of 2**n letters that collide in polynomial hashes modulo powers of two."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_span_hashes():
+    a, b = mirrored()
+    long = "q" * 100_000
+    for family in (0, 1, 2):
+        cp, starts, ends, _ = textvec.ascii_words([f"{a} {b} {a}", "", f"{long} {long}r {long}"])
+        h = textvec.span_hashes(cp, starts, ends, family)
+        assert h[0] == h[2] != h[1] and h[3] == h[5] != h[4]
+    spans = np.array([0, 3, 3]), np.array([5, 3, 9])  # overlapping and empty ones
+    h = textvec.span_hashes(cp, *spans)
+    assert h[0] == textvec.span_hashes(cp, np.array([0]), np.array([5]))[0] and h[1] != h[2]
+
+
+def test_words_that_share_a_hash():
+    """Words are told apart by the second hash where the first is the same."""
+    codes, words, first = bpe._distinct(np.array([7, 8, 7, 7, 8, 7], np.uint64), np.array([1, 1, 2, 1, 1, 2], np.uint64))
+    assert codes.tolist() == [0, 1, 2, 0, 1, 2] and words.tolist() == [7, 8, 7] and first.tolist() == [0, 1, 2]
+
+
+def test_mirrored_words(spark):
+    import base64
+
+    import tiktoken
+
+    a, b = mirrored()
+    docs = spark.createDataFrame([(0, a), (1, b), (2, f"{a} {b}")], "doc_id long, text string")
+    ranks, pattern = rank_file()
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(x): int(y) for x, y in map(bytes.split, ranks.splitlines())}, special_tokens={})
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs, ranks, pattern).collect()}
+    assert got == {i: plain.encode_ordinary(t) for i, t in enumerate((a, b, f"{a} {b}"))}
+    assert {r["_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, 3, 90).collect()} == {0: 0, 1: 1, 2: 2}
+
+
 def test_bpe_like_tiktoken(spark, docs, rows):
     import base64
 
@@ -128,6 +168,20 @@ def test_line_dedup(spark, docs, rows, bits):
         line_dedup.line_dedup(docs, filter_bits=4).collect()
 
 
+def test_heavy_lines_and_last_ids(spark):
+    """A line of every document, ids at the end of their range, null ids that hold a line alone or with others."""
+    rows = [(i, "A line that all documents hold\n" + f"own line {i} of its document\n" + "x" * 20_000, None, None, 0) for i in range(3000)]
+    rows += [(2**63 - 1, "only two hold this line", None, None, 0), (None, "only two hold this line", None, None, 0), (None, "a line of null ids", None, None, 0), (None, "a line of null ids", None, None, 0)]
+
+    def plain(own):
+        return [r if r[0] is not None else (2**64, *r[1:]) for r in own]
+
+    expected = Counter((None if i == 2**64 else i, *x) for i, *x in plain_lines(plain(rows)).elements())
+    done = line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).select("_row.doc_id", "n_lines", "n_dropped", "kept").collect()
+    assert Counter(map(tuple, done)) == expected
+    assert line_dedup.bits_for(0) == 20 and line_dedup.bits_for(10**6) == 23 and line_dedup.bits_for(10**12) == 30
+
+
 def test_full_filter_is_still_exact(spark, rows, monkeypatch):
     """More lines than the filter has room for: suspects only."""
     many = [(i, "\n".join(f"line number {random.randint(0, 30000)} of many" for _ in range(400)), None, None, 0) for i in range(60)]
@@ -181,6 +235,19 @@ def test_jaccard(spark, rows, k, percent, seed):
     assert got == plain_components(own, k, percent)
 
 
+def test_jaccard_long_lists(spark, monkeypatch):
+    """Lists that are cut into small parts, and texts of very different sizes that share their rarest words."""
+    monkeypatch.setattr(jaccard, "LIST_CELL", 2)
+    random.seed(12)
+    own = []
+    for i in range(40):  # three families with a common rare beginning; inside a family some are near, some are not
+        words = [f"rare{j}" for j in range(12)] + [f"f{i % 3}w{random.randint(0, 4 + i)}" for _ in range(20 + 5 * (i % 4))]
+        own.append((i, " ".join(words), None, None, 0))
+    own += [(100 + i, *x) for i, *x in near_copies(5, n=30, length=200)]
+    got = Counter(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(own, SCHEMA), 1, 60).collect())
+    assert got == plain_components(own, 1, 60)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(empty(spark)).collect() == []
 
@@ -208,6 +275,18 @@ def plain_repeats(rows, length):
     return Counter(out)
 
 
+def test_segments_know_their_content():
+    """Equal hashes for equal bytes only, wherever they stand."""
+    random.seed(8)
+    base = bytes(random.choice(b"ab") for _ in range(400))
+    data = np.frombuffer(base + b"\xff" + b"x" * 37 + base + b"\xff" + base[:200] + b"c" + base[201:] + b"\xff", np.uint8)
+    _, s, first, windows, _ = suffix_dedup.anchors(data, 100)
+    seen = {}
+    for h, a, n in zip(s.tolist(), first.tolist(), windows.tolist(), strict=True):
+        assert seen.setdefault(h, data[a : a + n + 99].tobytes()) == data[a : a + n + 99].tobytes()
+    assert len(seen) < len(s)
+
+
 @pytest.mark.parametrize("group", [2048, 3])
 def test_suffix_dedup(spark, rows, group):
     random.seed(9)
@@ -272,6 +351,20 @@ def test_mixing_small_sources_beside_large(spark):
     assert all(math.isclose(got[k][1], t, rel_tol=1e-9) and abs(got[k][2] - t) <= 0.5 for k, t in targets.items()), (got, targets)
 
 
+def test_mixing_sizes(spark):
+    """Sources from 1 word up beside a large one: all within half a word of their targets, whatever the others' size."""
+    sizes = {"a": 3_000_000, "b": 40, "c": 300, "d": 1000, "e": 1, None: 7}
+    texts = spark.createDataFrame([(k, 3000 if n > 3000 else 1, max(1, n // 3000) if n > 3000 else n) for k, n in sizes.items()], "source string, words int, copies int")
+    docs = texts.withColumn("i", F.explode(F.sequence(F.lit(1), "copies"))).select(F.concat(F.coalesce("source", F.lit("~")), F.col("i").cast("string")).alias("doc_id"), F.expr("trim(repeat('w ', words))").alias("text"), "source")
+    mixed = mixing.mix(docs, places=True)
+    got = {r["source"]: (r["n"], r["taken"], r["places"]) for r in mixed.groupBy("source").agg(F.sum("size").alias("n"), F.sum("taken").alias("taken"), F.count("first_slot").alias("places")).collect()}
+    targets = plain_targets(sizes)
+    assert all(got[k][0] == n and abs(got[k][1] - targets[k]) <= 0.5 and got[k][2] for k, n in sizes.items()), (got, targets)
+    # The mix takes up every source evenly: of the large one's documents a share by the middle of the slots that is near one half.
+    slots = [r["first_slot"] for r in mixed.where("source = 'a' and taken > 0").collect()]
+    assert abs(sum(s < max(slots) / 2 for s in slots) / len(slots) - 0.5) < 0.02
+
+
 def test_mixing_schedule(spark):
     """Slots follow one another in each source and reach its target, also where no point falls into the source."""
     aims = {"0a": 700.0, "0b": 299.6, "0c": 0.8, "1": 0.0}
@@ -312,6 +405,42 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == plain_segments(s)
 
 
+def test_toxicity_counts_and_evidence():
+    """Counting, scores of words, E-values and their sum against plain loops."""
+    import pyarrow as pa
+
+    texts, labels = ["Alphabet alphabet beta", "betting Gammas", "", "alphabets éclair x"], [1, 0, 1, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(texts)], ["_label", "_text"])
+    (out,) = toxicity._count([batch])
+    words = [re.findall(r"[^\W\d_]+", t.lower()) for t in texts]
+    plain = {0: defaultdict(int), 1: defaultdict(int)}
+    for own, y in zip(words, labels, strict=True):
+        for unit in {(len(w), w) for w in own} | {(n, w[:n] + "*") for w in own for n in toxicity.PREFIXES if len(w) > n}:
+            plain[y][unit] += 1
+    got = sorted(zip(out.column("clean").to_pylist()[:-1], out.column("toxic").to_pylist()[:-1], strict=True))
+    assert got == sorted((plain[0][u], plain[1][u]) for u in set(plain[0]) | set(plain[1]))
+    assert (out.column("clean")[-1].as_py(), out.column("toxic")[-1].as_py()) == (2, 6)
+
+    def hashed(word, n=None):
+        cp = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        h = textvec.span_hashes(cp, np.array([0]), np.array([n or len(word)]))[0]
+        return int(h ^ np.uint64(0xA5A5 * n) if n else h) | 1
+
+    listed = {hashed("vile"): 3.0, hashed("nastyish", 5): 2.0, hashed("calm"): -1.5}
+    units = np.array(sorted(listed), np.uint64)
+    model = toxicity.Model(units, np.array([listed[int(u)] for u in units]), -0.2, 0.9, 0.05, 1.0, 0.0)
+    random.seed(6)
+    texts = [" ".join(random.choices(["vile", "nastyness", "nasty", "calm", "word", "other"], k=random.randint(0, 30))) for _ in range(40)]
+    for text, (evidence, passages, n) in zip(texts, toxicity.Scanner(model).scan(texts), strict=True):
+        scores = [{"vile": 3.0, "nastyness": 2.0, "calm": -1.5}.get(w, -0.2) for w in text.split()]
+        expected = 0.0
+        for a, b in plain_segments(scores):
+            value = 0.05 * len(scores) * math.exp(-0.9 * sum(scores[a:b]))
+            expected += -math.log(value) if value < 1 else 0
+        assert n == len(scores) and math.isclose(evidence, expected, rel_tol=1e-9, abs_tol=1e-9)
+        assert all(p[3] < 1 for p in passages)
+
+
 def test_toxicity(spark):
     random.seed(7)
     common = ["".join(random.choices("abcdefgh", k=5)) for _ in range(200)]
@@ -349,6 +478,14 @@ def test_log_tail():
                 assert math.isclose(toxicity.log_tail(np.array([a]), np.array([b]), n_a, n_b)[0], math.log(chance), rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_toxicity_odd_rows(spark):
+    """Null ids, very long texts, repeated rows and clashing names."""
+    docs = spark.createDataFrame([(None, "some words"), (1, "vile " * 30_000), (1, "vile " * 30_000), (2, None)], "doc_id long, text string").withColumns({"_row": F.lit(1), "score": F.lit(2), "_evidence": F.lit(3), "_words": F.lit(4)})
+    model = toxicity.Model(np.array([5], np.uint64), np.array([3.0]), -0.2, 1.0, 0.1, 1.0, -1.0)
+    got = toxicity.score(docs, model).select("_row.doc_id", "_row._evidence", "score", "predicted").collect()
+    assert len(got) == 4 and {r["_evidence"] for r in got} == {3} and {r["predicted"] for r in got} == {0}
+
+
 def test_toxicity_rare_label(spark):
     """Words that no clean text has, each in about a third of few toxic texts."""
     random.seed(11)
@@ -369,16 +506,25 @@ def test_toxicity_rare_label(spark):
 
 # --- licences ---
 
+MIT = "\n".join(s for name, s in license_scan.SENTENCES if name in ("MIT-grant", "MIT-notice", "AS-IS", "MIT-liability"))
+BSD = [s for name, s in license_scan.SENTENCES if name in ("BSD-grant", "BSD-source", "BSD-binary")]
+
+
+def wrap(text, width, mark=""):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text.replace("\n", " "), width))
+
 
 def test_licenses(spark):
-    mit = "\n".join(s for name, s in license_scan.SENTENCES if name in ("MIT-grant", "MIT-notice", "AS-IS", "MIT-liability"))
-    wrapped = re.sub(r"(.{40,60}) ", r"\1\n", mit)
     cases = {
         0: (None, []), 1: ("", []), 2: ("Nothing to see. Permission denied.", []), 3: ("Text.\nReleased under the MIT License.\nMore text", ["MIT"]),
-        4: ("Copyright (c) 2020 Someone\n\n" + mit, ["MIT"]), 5: ("A header\n" + wrapped, ["MIT"]),
+        4: ("Copyright (c) 2020 Someone\n\n" + MIT, ["MIT"]), 5: ("A header\n" + wrap(MIT, 50), ["MIT"]),
         6: ("Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0.", ["Apache-2.0", "CC-BY-NC-4.0"]),
         7: ("released UNDER the mit license!", ["MIT"]), 8: ("Unreleased under the MIT License.", []), 9: ("x " * 50000 + ".\nThis work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
-        10: ("\n".join(s for name, s in license_scan.SENTENCES if name in ("BSD-grant", "BSD-source", "BSD-binary")), ["BSD-2-Clause"]),
+        10: ("\n".join(BSD), ["BSD-2-Clause"]), 11: ("// SPDX-License-Identifier: Apache-2.0 OR MIT\ncode", ["Apache-2.0 OR MIT"]),
+        12: ("\n".join([*BSD, "3. Neither the name of Some Holder, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]), ["BSD-3-Clause"]),
+        13: ("This is free and unencumbered software released into the public\n  domain.", ["Unlicense"]), 14: (wrap(MIT, 60, " * "), ["MIT"]), 15: ("MIT License and more words that follow", []),
     }
     rows = [(i, t) for i, (t, _) in cases.items()] + [(None, cases[3][0]), (3, cases[3][0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("licenses", F.lit("x"))
@@ -388,6 +534,58 @@ def test_licenses(spark):
     assert all(any(t in s.lower().encode() for t in license_scan.TRIGGERS) for _, s in license_scan.SENTENCES)
 
 
+@pytest.mark.parametrize("width", [20, 30, 36, 38, 40, 52, 64, 80])
+def test_licenses_wrapped(width):
+    assert license_scan.licenses(license_scan.identifiers("Title\n" + wrap(MIT, width))) == ["MIT"]
+    for name, rule in [*license_scan.BODIES, *license_scan.RULES]:
+        own = [next(s for n, s in license_scan.SENTENCES if n == x).replace("<name>", "the holder") for x in rule]
+        assert license_scan.licenses(license_scan.identifiers("\n\n".join(wrap(s, width) for s in own))) == [name]
+
+
+@pytest.mark.parametrize(("file", "name"), [("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")])
+def test_license_bodies(file, name):
+    """The texts that many systems ship, where this one has them."""
+    from pathlib import Path
+
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no licence texts here")
+    found = license_scan.licenses(license_scan.identifiers(path.read_text()))
+    assert found and found[0] == name
+
+
+def plain_identifiers(text):
+    """Every known sentence tried at every place where a piece starts."""
+    low = text.lower()
+    words = [(m.start(), m.group()) for m in re.finditer("[a-z0-9]+", low)]
+    ends = [0] + [m.end() for m in re.finditer(r"\n|[.!?:;)][\"'\u201d]*\s", low)]
+    first = {next((k for k, (a, _) in enumerate(words) if a >= e), len(words)) for e in ends} | {len(words)}
+    out, i = [], 0
+    while i < len(words):
+        best = None
+        for name, sentence in license_scan.SENTENCES if i in first else ():
+            pattern = "(?: [a-z0-9]+){1,64} ".join(map(license_scan.normalise, sentence.split("<name>")))
+            m = re.match(pattern + "(?= |$)", " ".join(w for _, w in words[i : i + 400]))
+            if m and i + len(m.group().split()) in first and (best is None or len(m.group().split()) > best[0]):
+                best = len(m.group().split()), name
+        if best:
+            out.append(best[1])
+        i += best[0] if best else 1
+    return out
+
+
+def test_licenses_like_brute_force(spark):
+    random.seed(4)
+    pieces = [s.replace("<name>", "Some Body") for _, s in license_scan.SENTENCES]
+    texts = [None, ""]
+    for _ in range(60):
+        own = [random.choice([random.choice(pieces), "Some other text", "a b c.", random.choice(pieces)[: random.randint(5, 60)], "Copyright (c) 2001 X"]) for _ in range(random.randint(1, 6))]
+        texts.append(wrap(random.choice([" ", "\n"]).join(own), random.randint(15, 90)) if random.random() < 0.5 else random.choice([" ", "\n", ") "]).join(own))
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for t in texts + [t for t in real if t and re.search("(?i)licens|permi", t)][:40]:
+        assert [x for _, _, x in license_scan.identifiers(t or "") if x != "Copyright" and not x.startswith("SPDX:")] == plain_identifiers(t or ""), t
+
+
 # --- shards ---
 
 
@@ -436,6 +634,9 @@ def test_shards(spark, docs, rows, tmp_path):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
     counts = Counter(r["shard"] for r in got)
     assert max(counts.get(s, 0) for s in range(16)) - min(counts.get(s, 0) for s in range(16)) <= 1
+    assert got[0].__fields__ == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve"]
+    # Many distinct values: codes by a range sort and a join give the same shards.
+    assert Counter(map(tuple, sharding.hilbert_shards(docs, few=0).collect())) == Counter(map(tuple, got))
     for s in range(16):
         own = sorted((r["slot"], r["curve"]) for r in got if r["shard"] == s)
         assert [x for x, _ in own] == list(range(len(own))) and [c for _, c in own] == sorted(c for _, c in own)
