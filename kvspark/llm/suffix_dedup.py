@@ -16,27 +16,37 @@ arrays small and independent, every such string is first sent to the one place w
    so in each round one half of a segment at most is left, until a group is small or a key is a window.
 5. Each text gets the ranges to remove. Ranges are judged on the input.
 
-Cases: null counts as empty; texts shorter than ``length`` stay; rows repeated with id and text each
-lose what the other repeats; null ids are ids; an empty table gives an empty table; only id and text
-are read. Anchors and segments are told apart by 64-bit hashes each.
+Cases: null counts as empty; texts shorter than ``length`` stay; texts of any length are taken whole; among
+grams with the same smallest hash the rightmost is the anchor; rows repeated with id and text each lose what
+the other repeats; null ids are ids; an empty table gives an empty table; only id and text are read, so
+other columns may have any names. Documents are told apart by 128 bits (two hashes of id and text); a
+segment by the hashes of its anchor and of its bytes, 64 bits each, and pieces that are sorted by their bytes.
+
+The rounds of step 4 halve the windows, so there are log2(length) of them at most. Anchors, halves and
+documents with very many segments are joined by broadcast, fewer than 1,024 heavy ones at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvspark.llm import textvec
-from kvspark.llm.common import cut, drop_cut, mix64, partitions
-from kvspark.llm.nn_descent import _sorted_groups
+from kvspark.llm.ann import sorted_groups
+from kvspark.llm.common import cut, drop_cut, join_back, mix64, stable, tasks
 
 GRAM, GROUP, BATCH_BYTES, CHUNK_BYTES, EDGE = 48, 2048, 1 << 19, 1 << 17, 0xFF  # no UTF-8 text holds the byte EDGE
 
+#: Input for each task of the shuffles.
+TASK_BYTES = 16 << 20
+ROW = ["_r1", "_r2"]  # the two hashes that name a document
+
 
 def _grams(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on."""
@@ -48,11 +58,23 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return mix64(join(h32, h16, 32, 48))
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of concatenated texts (each ends in EDGE): hash of the anchor, first window, windows, place of the anchor."""
+def _content(grams: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each segment, from the grams that lie end to end in it and the one at its end."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    n = -(-lengths // GRAM)
+    begins = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(begins, n)
+    at = np.repeat(first, n) + np.minimum(place * GRAM, np.repeat(lengths - GRAM, n))
+    mixed = mix64(grams[at] ^ mix64((place + 1).astype(np.uint64)))
+    return mix64(np.add.reduceat(mixed, begins) ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of concatenated texts (each ends in EDGE): hashes of the anchor and of the content, first window, windows, place of the anchor."""
     none = np.zeros(0, np.int64)
     if len(data) < length + 1:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
     h = _grams(data)
     width = length - GRAM + 1
     bits = np.uint64(max(1, int(len(h)).bit_length()))
@@ -72,7 +94,7 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     end = whole.copy()
     end[:-1] &= (place[1:] != place[:-1]) | ~whole[1:]
     first, final = np.flatnonzero(start), np.flatnonzero(end)
-    return h[place[first]], first, final - first + 1, place[first]
+    return h[place[first]], _content(h, first, final - first + length), first, final - first + 1, place[first]
 
 
 def _gather(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -160,27 +182,26 @@ def _ranges(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _bytes_hash(raw: bytes) -> int:
-    data = np.frombuffer(raw, np.uint8)
-    return int(textvec.span_hashes(data, np.array([0]), np.array([len(data)])).view(np.int64)[0])
+    h = xxhash.xxh3_64_intdigest(raw)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _segments(rows: DataFrame, length: int) -> DataFrame:
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column("_rk"))
+            r1, r2 = (np.asarray(batch.column(c)) for c in ROW)
             for at, data, begins in _gather(batch.column("_text").to_pylist()):
-                h, first, windows, place = anchors(data, length)
+                h, s, first, windows, place = anchors(data, length)
                 of = np.searchsorted(begins, first, "right") - 1
-                s = textvec.span_hashes(data, first, first + windows - 1 + length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(keys[at + of]), pa.array((first - begins[of]).astype(np.int32)), pa.array((windows - 1 + length).astype(np.int32)), pa.array((place - first).astype(np.int32))],
-                    ["h", "s", "rk", "a", "len", "off"],
+                    [pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(r1[at + of]), pa.array(r2[at + of]), pa.array((first - begins[of]).astype(np.int32)), pa.array((windows - 1 + length).astype(np.int32)), pa.array((place - first).astype(np.int32))],
+                    ["h", "s", *ROW, "a", "len", "off"],
                 )
 
-    return rows.select("_rk", "_text").mapInArrow(find, "h long, s long, rk long, a int, len int, off int")
+    return rows.select(*ROW, "_text").mapInArrow(find, "h long, s long, _r1 long, _r2 long, a int, len int, off int")
 
 
-def _settle(pieces: DataFrame, length: int) -> DataFrame:
+def _settle(pieces: DataFrame, length: int, parts: int) -> DataFrame:
     """(h, s, lo, hi): repeated ranges of pieces (key, h, s, base, piece), key by key, with suffix arrays."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +221,7 @@ def _settle(pieces: DataFrame, length: int) -> DataFrame:
                 h, s, lo, hi = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["h", "s", "lo", "hi"])
 
-        for group in _sorted_groups(batches):
+        for group in sorted_groups(batches):
             rows = {(h, s, base): piece for h, s, base, piece in zip(*(group.column(c).to_pylist() for c in ("h", "s", "base", "piece")), strict=True)}
             if len(rows) < 2:
                 continue
@@ -212,7 +233,7 @@ def _settle(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield from close()
 
-    sorted_rows = pieces.select(F.col("key").alias("_cell"), "h", "s", "base", "piece").repartition(partitions(pieces.sparkSession), "_cell").sortWithinPartitions("_cell")
+    sorted_rows = pieces.select(F.col("key").alias("_cell"), "h", "s", "base", "piece").repartition(parts, "_cell").sortWithinPartitions("_cell")
     return sorted_rows.mapInArrow(run, "h long, s long, lo int, hi int")
 
 
@@ -256,61 +277,66 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of segments (h, s, rk, a, len, off)."""
-    lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("h", "s", "a", "len", "off")).alias("_want"))
-    both = _packed(rows.select("_rk", "_text")).join(lists, F.col("_rk") == F.col("rk")).select("_packed", "_want")
+    """The bytes of segments (h, s, _r1, _r2, a, len, off, hot)."""
+    lists = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("h", "s", "a", "len", "off", "hot")).alias("_want"))
+    both = _packed(rows.select(*ROW, "_text")).join(lists, ROW).select("_packed", "_want")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed, want in zip(batch.column("_packed"), batch.column("_want").to_pylist(), strict=True):
                 raw = zstandard.ZstdDecompressor().decompress(packed.as_py())
-                columns = [pa.array([w["h"] for w in want], pa.int64()), pa.array([w["s"] for w in want], pa.int64()), pa.array([w["off"] for w in want], pa.int32()), pa.array([raw[w["a"] : w["a"] + w["len"]] for w in want], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "s", "off", "piece"])
+                columns = [pa.array([w["h"] for w in want], pa.int64()), pa.array([w["s"] for w in want], pa.int64()), pa.array([w["off"] for w in want], pa.int32()), pa.array([raw[w["a"] : w["a"] + w["len"]] for w in want], pa.binary()), pa.array([w["hot"] for w in want], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "s", "off", "piece", "hot"])
 
     from kvspark.llm.ann import _merged
 
-    return both.mapInArrow(lambda b: _merged(run(b), 2048), "h long, s long, off int, piece binary")
+    return both.mapInArrow(lambda b: _merged(run(b), 2048), "h long, s long, off int, piece binary, hot boolean")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group: int = GROUP) -> DataFrame:
     """(id, kept binary, n_bytes, n_removed, n_spans) for each row."""
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col).cast("string"), text).alias("_rk"), text.alias("_text"))
+    source = stable(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    parts = tasks(source, TASK_BYTES)
+    text, name = F.coalesce(F.col("_text").cast("string"), F.lit("")), F.col("_id").cast("string")
+    rows = source.select("_id", F.xxhash64(name, text).alias("_r1"), F.xxhash64(F.lit(1), text, F.lit(2), name).alias("_r2"), text.alias("_text"))
     found = cut(_segments(rows.where(F.octet_length("_text") >= length), length))
-    twice = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h"))
-    seen = cut(found.join(twice, "h"))
+    kinds = found.groupBy("h").agg(F.count(F.lit(1)).alias("_n"), F.min("s").alias("_lo"), F.max("s").alias("_hi")).where("_n > 1")
+    kinds = cut(kinds.select("h", "_n", (F.col("_lo") < F.col("_hi")).alias("_mixed")))
+    marked = cut(join_back(found, kinds, "h", found.count()).drop("_n"))
     drop_cut(found)
-    kinds = cut(seen.groupBy("h").agg(F.min("s").alias("_lo"), F.max("s").alias("_hi")))
-    marked = cut(seen.join(kinds, "h").withColumn("_mixed", F.col("_lo") < F.col("_hi")).drop("_lo", "_hi"))
-    drop_cut(seen)
-    same = marked.where("not _mixed").select("rk", F.col("a").alias("lo"), (F.col("a") + F.col("len")).alias("hi"))
+    same = marked.where("not _mixed").select(*ROW, F.col("a").alias("lo"), (F.col("a") + F.col("len")).alias("hi"))
     mixed = marked.where("_mixed")
-    distinct = cut(mixed.groupBy("h", "s").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("rk", "a", "len", "off")).alias("_one")).select("h", "s", "_n", "_one.*"))
-    crowds = cut(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group).select("h", F.lit(True).alias("_hot")))
-    pieces = _fetch(rows, distinct.select("h", "s", "rk", "a", "len", "off")).dropDuplicates(["h", "s"]).withColumn("base", F.lit(0)).withColumn("key", F.col("h"))
-    some_hot = crowds.first() is not None
-    if some_hot:
-        pieces = cut(pieces.join(crowds, "h", "left"))
-        settled = _settle(pieces.where("_hot is null"), length)
-        hot = pieces.where("_hot").withColumn("low", F.lit(0)).withColumn("high", F.lit(length - GRAM + 1))
+    distinct = mixed.groupBy("h", "s").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*ROW, "a", "len", "off")).alias("_one"))
+    distinct = cut(distinct.select("h", "s", "_n", "_one.*"))
+    crowds = cut(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("_m")))
+    wanted = join_back(distinct, crowds, "h", distinct.count(), "_m").withColumn("hot", F.col("_m") > group)
+    pieces = _fetch(rows, wanted).dropDuplicates(["h", "s"]).withColumn("base", F.lit(0)).withColumn("key", F.col("h"))
+    if crowds.where(F.col("_m") > group).first() is not None:
+        pieces = cut(pieces)
+        columns = ["key", "h", "s", "base", "piece"]
+        small, equal = pieces.where("not hot").select(columns), []
+        hot = pieces.where("hot").withColumn("low", F.lit(0)).withColumn("high", F.lit(length - GRAM + 1))
         while True:
             halves = cut(_halve(hot, length))
             state = cut(halves.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_n > 1"))
-            halves = cut(halves.join(state, "key"))
-            settled = settled.unionByName(halves.where("_lo = _hi").select("h", "s", F.col("base").alias("lo"), (F.col("base") + F.length("piece")).alias("hi")))
-            settled = settled.unionByName(_settle(halves.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") <= group)), length))
+            halves = cut(join_back(halves, state, "key", halves.count()))
+            equal.append(halves.where("_lo = _hi").select("h", "s", F.col("base").alias("lo"), (F.col("base") + F.length("piece")).alias("hi")))
+            small = small.unionByName(halves.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") <= group)).select(columns))
             hot = halves.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > group))
             if hot.first() is None:
                 break
+        settled = reduce(DataFrame.unionByName, equal, _settle(small, length, parts))
     else:
-        settled = _settle(pieces, length)
-    ones = distinct.where("_n = 1").select("h", "s", "rk", "a")  # segments that occur twice go whole
-    parts = settled.join(ones, ["h", "s"]).select("rk", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
-    whole = mixed.join(distinct.where("_n > 1").select("h", "s"), ["h", "s"]).select("rk", F.col("a").alias("lo"), (F.col("a") + F.col("len")).alias("hi"))
-    ranges = same.unionByName(whole).unionByName(parts).groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
-    both = _packed(rows.select("_id", "_rk", "_text")).join(ranges, F.col("_rk") == F.col("rk"), "left").select("_id", "_packed", "_ranges")
+        settled = _settle(pieces, length, parts)
+    ones = distinct.where("_n = 1").select("h", "s", *ROW, "a")  # segments that occur twice go whole
+    ranges = settled.join(ones, ["h", "s"]).select(*ROW, (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
+    twice = cut(distinct.where("_n > 1").select(F.struct("h", "s").alias("_hs"), "_n"))
+    whole = join_back(mixed.select(F.struct("h", "s").alias("_hs"), *ROW, "a", "len"), twice, "_hs", mixed.count())
+    whole = whole.select(*ROW, F.col("a").alias("lo"), (F.col("a") + F.col("len")).alias("hi"))
+    ranges = same.unionByName(whole).unionByName(ranges).groupBy(*ROW).agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
+    both = _packed(rows.select("_id", *ROW, "_text")).join(ranges, ROW, "left").select("_id", "_packed", "_ranges")
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
