@@ -280,9 +280,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     others = cut(classes.select(*group, "cid").join(crowded, group).select("gid", "cid").where("gid != cid"))  # classes that do not lead their group
     posted = groups.select("gid", "n", "weight", F.posexplode("prefix").alias("pos", "token"))
     lead = F.max_by(F.struct("gid", "n", "pos"), F.struct(F.col("weight"), -F.col("gid")))
-    leads = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), lead.alias("lead")).where("_n > 1"))
+    shared = cut(posted.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))  # most tokens stand in one list only and end here
     total = groups.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    live = cut(join_back(posted, leads, "token", total))
+    listed = cut(join_back(posted, shared, "token", total))
+    leads = cut(listed.groupBy("token").agg(F.first("_n").alias("_n"), lead.alias("lead")))
+    live = cut(join_back(listed.drop("_n"), leads, "token", listed.count()))
 
     stars = live.where(F.col("gid") != F.col("lead.gid")).where(_passes(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent))
     stars = cut(stars.select(F.col("lead.gid").alias("a"), F.col("gid").alias("b")).unionByName(others.select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct())
@@ -307,7 +309,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         more = cut(verify(rows, fresh, k, percent))
         final = cut(components(links.unionByName(more)))
         second = [rest, fresh, more, joined]
-    for done in (groups, others, live, leads, stars, links, member, labelled, open_lists, *second):
+    for done in (groups, others, shared, listed, live, leads, stars, links, member, labelled, open_lists, *second):
         drop_cut(done)
 
     ids = classes.select(*key, "cid").join(final, F.col("cid") == F.col("node"), "left").select(*key, F.coalesce("component", "cid").alias("_component"))
