@@ -679,8 +679,7 @@ def _prints(spark, d):
 
 @query("simhash_tokens", f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT w) AS n_distinct FROM tk GROUP BY doc_id")
 def simhash_tokens(spark, d):
-    words = table(spark, d, "documents").select("doc_id", simhash.tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+    return simhash.token_counts(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("simhash_fingerprint", f"WITH {PRINTS} SELECT doc_id, {HEX.format('')} AS fingerprint FROM fp")

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kvspark.functions.hashing import murmur3_32, murmur3_64_hex, murmur3_x64_64, murmur3_x86_32
 from kvspark.operators.sketches import bloom, cms, hll, simhash
+from kvspark.plans.catalogue import QUERIES
 
 TOKENS = "apple dog rose car tree river stone cloud bird fish lamp door book pen cup shoe hat ring key coin ship wind".split()
 
@@ -107,6 +109,22 @@ def test_simhash_texts(spark):
         simhash.near(rows, 4)
 
 
+def test_token_counts(spark):
+    texts = ["Hello, hello WORLD x1", "the and of", "", None, "ı ſtop İz čaj-naše \ud7ff\U0001f600b", "a" * 5000 + " " + "A" * 5000, "...", "the THE mars\x00moon\nmars"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    upper = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    words = {i: [w for x in re.findall("[A-Za-z0-9]+", t or "") if (w := x.translate(upper)) not in simhash.STOP_WORDS] for i, t in enumerate(texts)}
+    found = simhash.token_counts(rows, "id", "t")
+    assert {r["id"]: (r["n_tokens"], r["n_distinct"]) for r in found.collect()} == {i: (len(w), len(set(w))) for i, w in words.items() if w}
+
+
+def test_tokens_are_made_once_from_a_plain_class(spark, tmp_path):
+    """The optimizer copied the expression into a filter, and a negated class is matched several times slower."""
+    spark.createDataFrame([(1, "Hello world")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = QUERIES["simhash_tokens"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("A-Za-z0-9") == 1 and "[^" not in plan
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2**32 - 1), st.integers(0, 2**32 - 1)), min_size=1, max_size=20), st.integers(0, 31))
 def test_near_finds_all_pairs(spark, prints, flip):
