@@ -45,36 +45,52 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.inline(F.filter(counted, lambda x: x["n_tokens"] > 0)))
 
 
-#: Words whose bits are summed at once.
-AT_ONCE = 1 << 16
-_TOKEN = re.compile("[A-Za-z0-9]+")
+#: Bytes of a text taken at once; a token that stands at the cut is taken whole, so these are up to half as many tokens.
+PIECE = 1 << 17
+#: Words whose bits a task keeps.
+KEPT = PIECE
+_TOKEN, _BREAK = re.compile(b"[A-Za-z0-9]+"), re.compile(b"[^A-Za-z0-9]")
+
+
+def _pieces(text: pa.Scalar) -> Iterator[bytes]:
+    """A text's bytes in pieces, a-z in upper case, cut where no token is. Bytes of other letters are no part of a token."""
+    raw = memoryview(text.as_buffer() or b"")
+    at = 0
+    while at < len(raw):
+        found = _BREAK.search(raw, at + PIECE)
+        end = found.start() if found else len(raw)
+        yield bytes(raw[at:end]).upper()
+        at = end
 
 
 def _prints(batches: Iterable[pa.RecordBatch], id_col: str) -> Iterator[pa.RecordBatch]:
-    """Each distinct word of a batch is hashed once; a text's word bits are summed where the text is."""
-    stop = frozenset(STOP_WORDS)
+    """A text's word bits are summed where the text is, piece by piece; beside the batch, memory holds one piece and the bits of KEPT words, each hashed once while it is kept."""
+    stop = frozenset(w.encode() for w in STOP_WORDS)
+    number: dict[bytes, int] = {}
+    bits = np.zeros((KEPT, 64), np.uint8)
     for batch in batches:
-        number: dict[str, int] = {}
-        codes, counts = [], []
-        for text in batch.column("_text").to_pylist():
-            own = [number.setdefault(w, len(number)) for w in _TOKEN.findall(text.upper() if text and text.isascii() else _upper(text or "")) if w not in stop]
-            codes.append(np.array(own, np.int32))
-            counts.append(len(own))
-        digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in number), np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(digests, axis=1)
-        halves = np.zeros((len(codes), 64), bool)
-        for i, (own, n) in enumerate(zip(codes, counts, strict=True)):
-            on = np.zeros(64, np.int64)
-            for at in range(0, n, AT_ONCE):
-                on += bits[own[at : at + AT_ONCE]].sum(axis=0, dtype=np.int64)
+        texts = batch.column("_text")
+        halves = np.zeros((len(texts), 64), bool)
+        for i, text in enumerate(texts):
+            on, n = np.zeros(64, np.int64), 0
+            for piece in _pieces(text):
+                words = [w for w in _TOKEN.findall(piece) if w not in stop]
+                new = set(words).difference(number)
+                if len(number) + len(new) > KEPT:
+                    number.clear()
+                    new = set(words)
+                if new:
+                    first = len(number)
+                    number.update(zip(new, range(first, first + len(new)), strict=True))
+                    digests = np.frombuffer(b"".join([hashlib.md5(w).digest()[:8] for w in new]), np.uint8).reshape(-1, 8)
+                    bits[first : first + len(new)] = np.unpackbits(digests, axis=1)
+                on += bits[[number[w] for w in words]].sum(axis=0, dtype=np.int64) if words else 0
+                n += len(words)
             halves[i] = 2 * on > n
         packed = np.packbits(halves, axis=1).view(">u4").astype(np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(packed[:, 0]), pa.array(packed[:, 1])], [id_col, "hi", "lo"])
-
-
-def _upper(text: str) -> str:
-    """a-z in upper case; other letters stay, as they are no part of a token."""
-    return text.encode("utf-8", "surrogatepass").upper().decode("utf-8", "surrogatepass")
+        out = pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(packed[:, 0]), pa.array(packed[:, 1])], [id_col, "hi", "lo"])
+        batch = texts = text = None  # not held while the next one is read
+        yield out
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

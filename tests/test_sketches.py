@@ -1,6 +1,10 @@
+import hashlib
 import math
+import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -125,6 +129,46 @@ def test_tokens_are_made_once_from_a_plain_class(spark, tmp_path):
     assert plan.count("A-Za-z0-9") == 1 and "[^" not in plan
 
 
+def _printed(texts):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "_text"])
+    return [(r["hi"], r["lo"]) for out in simhash._prints([batch, batch.slice(0, 0), batch], "id") for r in out.to_pylist()]
+
+
+@pytest.mark.parametrize("piece", [8, 64, 1 << 17])
+def test_prints_in_pieces(monkeypatch, piece):
+    """Tokens at cuts, tokens longer than a piece, more words than are kept, letters outside ASCII."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(simhash, "KEPT", piece)
+    rng = random.Random(3)
+    texts = ["", None, "the", "Hello, hello", "ı ſtop İz čaj-naše \U0001f600b", "x" * 300, "-" * 300, *(" ".join("".join(rng.choices("abcXYZ09č-", k=rng.randint(1, 30))) for _ in range(n)) for n in (1, 5, 40, 900))]
+    expected = []
+    for t in texts:
+        words = [w for x in re.findall("[A-Za-z0-9]+", t or "") if (w := x.upper()) not in simhash.STOP_WORDS]
+        sums = [2 * sum(int(hashlib.md5(w.encode()).hexdigest()[:16], 16) >> b & 1 for w in words) > len(words) for b in range(64)]
+        both = sum(1 << b for b in range(64) if sums[b])
+        expected.append((both >> 32, both & 0xFFFFFFFF))
+    assert _printed(texts) == expected * 2
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_prints_memory_does_not_follow_the_batch(long):
+    """Lists of all texts, of all their words and a table of their bits stood in each worker's memory, several times the batch."""
+
+    def peak(n):
+        texts = [" ".join(f"{rng.getrandbits(32):x}" for _ in range(500)) for _ in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(texts)])] if long else [pa.array(range(n)), pa.array(texts)], ["id", "_text"])
+        del texts
+        tracemalloc.start()
+        try:
+            assert sum(out.num_rows for out in simhash._prints([batch], "id")) == (1 if long else n)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    rng = random.Random(4)
+    assert peak(800) < 1.2 * peak(400)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2**32 - 1), st.integers(0, 2**32 - 1)), min_size=1, max_size=20), st.integers(0, 31))
 def test_near_finds_all_pairs(spark, prints, flip):
